@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import digest, quality
+from . import digest, linededup, quality
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_removed", "copied", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
+
+
+ORACLE_SQL["op5_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, source, n, x FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+), kinds AS (
+  SELECT *, length(x) <= 160 AND regexp_matches(x, '[^\x20\x09-\x0D]') AS counts FROM lines
+), bad AS (
+  SELECT trim(x) AS line FROM kinds WHERE counts GROUP BY 1 HAVING count(DISTINCT coalesce('+' || source, '-')) >= 5
+), marked AS (
+  SELECT k.*, k.counts AND b.line IS NOT NULL AS gone, length(regexp_replace(k.x, '[\x20\x09-\x0D]+', '', 'g')) AS size FROM kinds k LEFT JOIN bad b ON trim(k.x) = b.line
+), each AS (
+  SELECT doc_id, count_if(gone) AS gone, coalesce(sum(size) FILTER (NOT gone), 0) < 0.5 * sum(size) AS most,
+    coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (NOT gone), '') AS rest
+  FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN e.gone > 0 AND NOT e.most THEN e.gone ELSE 0 END::BIGINT AS n_removed, coalesce(e.gone > 0 AND e.most, false) AS copied,
+  length(CASE WHEN e.gone > 0 AND NOT e.most THEN e.rest ELSE d.text END)::BIGINT AS n_chars,
+  sha256(CASE WHEN e.gone > 0 AND NOT e.most THEN e.rest ELSE d.text END) AS clean_sha256
+FROM documents d LEFT JOIN each e ON d.doc_id = e.doc_id
+"""
