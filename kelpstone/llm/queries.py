@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, linededup, quality
+from . import digest, linededup, mixing, quality
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ SELECT d.doc_id, CASE WHEN e.gone > 0 AND NOT e.most THEN e.gone ELSE 0 END::BIG
   sha256(CASE WHEN e.gone > 0 AND NOT e.most THEN e.rest ELSE d.text END) AS clean_sha256
 FROM documents d LEFT JOIN each e ON d.doc_id = e.doc_id
 """
+
+
+@query
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
