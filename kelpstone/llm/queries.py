@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, linededup, mixing, packing, quality, tokencount, warc
+from . import digest, htmltext, linededup, mixing, packing, quality, tokencount, warc
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ SELECT page_id, payload_bytes, p.payload_digest, CASE WHEN g.first <> page_id TH
   CASE WHEN g.first <> page_id THEN g.first END AS refers_to
 FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >= 100
 """
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
