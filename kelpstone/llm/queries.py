@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, htmltext, linededup, mixing, packing, quality, tokencount, warc
+from . import digest, htmltext, licences, linededup, mixing, packing, quality, tokencount, warc
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,37 @@ FROM p LEFT JOIN g ON p.payload_digest = g.payload_digest AND p.payload_bytes >=
 @query
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def _licence_sql() -> str:
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    templates = ", ".join(f"('{t.label}', {quoted(t.words)}, {licences.needed(t, 0.8)})" for t in licences.TEMPLATES)
+    phrases = ", ".join(f"('{label}', {quoted(p)})" for p, label in licences.PHRASES.items())
+    return f"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS low FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(low, '{licences.WORD}') AS words FROM d),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(x, '{licences.WORD}')) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS x FROM d)),
+t(label, words, need) AS (VALUES {templates}),
+met AS (
+  SELECT doc_id, label, len(list_intersect(lines.words, t.words)) / len(t.words) AS share FROM lines, t
+  WHERE len(list_intersect(lines.words, t.words)) >= need
+),
+method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS most FROM met GROUP BY doc_id),
+p(label, phrase) AS (VALUES {phrases}),
+spots AS (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w),
+places AS (SELECT doc_id, label, i FROM spots, p WHERE words[i + 1] = phrase[1] AND words[i + 1 : i + len(phrase)] = phrase),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list(DISTINCT label) AS labels FROM places GROUP BY doc_id)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(method.labels, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(most, 0) END::DOUBLE AS score
+FROM w LEFT JOIN base ON w.doc_id = base.doc_id LEFT JOIN method ON w.doc_id = method.doc_id
+"""
+
+
+ORACLE_SQL["op7_license_scan"] = _licence_sql()
