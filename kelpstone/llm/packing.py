@@ -31,87 +31,37 @@ tasks. The slots are at most a few for each length and are broadcast if under
 from __future__ import annotations
 
 import heapq
-import os
 import zlib
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .shared import materialize
+from .wordbpe import encoder_of, unreachable
 
 SEQ_LEN = 2048
 END_ID = 1
 SALTS = 128
 SEED = 40_009
-#: Words whose ids a worker remembers, and the longest word that it remembers.
-CACHED_WORDS, CACHED_CHARS = 400_000, 64
 BROADCAST_SLOTS = 200_000
 
 
-class WordEncoder:
-    """Ids of whole texts, word by word.
-
-    For tokenizers that drop white space and never join across it: the ids of a
-    text are those of its parts between spaces and line feeds, one after the
-    other. Parts seen before are looked up.
-    """
-
-    def __init__(self, definition: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, parts: Iterable[str], into: dict[str, bytes]) -> None:
-        new = list(parts)
-        for part, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            into[part] = np.array(found.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids, four bytes each, little-endian."""
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(self.known) > CACHED_WORDS:
-            self.known = {"": b""}
-        missing = {p for p in parts if p not in self.known}
-        self._learn((p for p in missing if len(p) <= CACHED_CHARS), self.known)
-        long: dict[str, bytes] = {}
-        self._learn((p for p in missing if len(p) > CACHED_CHARS), long)
-        return b"".join([self.known[p] if p in self.known else long[p] for p in parts])
-
-
-_encoders: dict[int, WordEncoder] = {}
-
-
-def encoder_of(definition: str) -> WordEncoder:
-    """The worker's encoder for a definition; it outlives a task, and with it the words that it knows."""
-    key = zlib.crc32(definition.encode())
-    if key not in _encoders:
-        _encoders[key] = WordEncoder(definition)
-    return _encoders[key]
-
-
 def pieces(docs: DataFrame, tokenizer_file: str, seq_len: int = SEQ_LEN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): the document's ids, cut into full sequences and a rest."""
     spark = docs.sparkSession
     # The definition is a fixed file of a few MB; sent once, so that workers need no such file.
-    definition = spark.sparkContext.broadcast(Path(tokenizer_file).read_text(encoding="utf-8"))
+    definition = Path(tokenizer_file).read_text(encoding="utf-8")
+    sent = spark.sparkContext.broadcast((definition, unreachable(definition)))
     end = int(end_id).to_bytes(4, "little")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(definition.value)
+        encoder = encoder_of(*sent.value)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
