@@ -180,7 +180,7 @@ def mix(docs: DataFrame, weights: Iterable[float] = WEIGHTS, most: int = MOST) -
 
 
 def repeated(docs: DataFrame, weights: Iterable[float] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken (repeated ids are taken by their first row's count)."""
-    times = mix(docs, weights, most).groupBy("doc_id").agg(F.first("times").alias("__times")).withColumnRenamed("doc_id", "__id")
+    """The mix itself: each row of ``docs`` as often as it is taken (rows of one id as often as the most taken of them)."""
+    times = mix(docs, weights, most).groupBy("doc_id").agg(F.max("times").alias("__times")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(times, docs["doc_id"].eqNullSafe(F.col("__id")), "left").where(F.col("__times") > 0)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), "__times")).alias("__copy")).drop("__copy")
