@@ -85,12 +85,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         take[i] = min(counts[i], int(carried // lengths[i]))
         carried -= float(take[i]) * float(lengths[i])
     missing = budget - int((lengths * take).sum())
-    # Gives the program choice: a document of each of the shortest lengths is put back while that keeps the remainder small.
-    longest = int(lengths.max())
-    for i in order[::-1]:
-        if take[i] and lengths[i] and missing + lengths[i] <= min(PROGRAM_WORDS, 2 * longest):
-            take[i] -= 1
-            missing += int(lengths[i])
+    # Gives the program choice: documents of every length are put back, in turn, while the remainder stays small.
+    limit, put = min(PROGRAM_WORDS, 8 * int(lengths.max())), True
+    while put:
+        put = False
+        for i in order[::-1]:
+            if take[i] and lengths[i] and missing + lengths[i] <= limit:
+                take[i] -= 1
+                missing += int(lengths[i])
+                put = True
     for i in order:  # more than the program's bound: whole documents, longest first
         if missing > PROGRAM_WORDS and 0 < lengths[i]:
             more = min(int(counts[i] - take[i]), (missing - PROGRAM_WORDS) // int(lengths[i]) + 1)
@@ -163,19 +166,21 @@ def mix(docs: DataFrame, weights: Iterable[float] = WEIGHTS, most: int = MOST) -
         size, target = int(lengths["source_size"].iloc[0]), float(lengths["target"].iloc[0])
         passes = min(most, int(target // size)) if size else 0
         rest = 0 if passes == most else round(target - passes * size)
-        chosen = fit(lengths["size"].to_numpy(np.int64), lengths["n"].to_numpy(np.int64), rest)
-        return lengths[["known", "source", "size", "source_size", "target"]].assign(passes=passes, chosen=chosen)
+        # A document may be taken up to most times in all, which matters where a source's long documents don't fit its budget.
+        number = lengths["n"].to_numpy(np.int64)
+        chosen = fit(lengths["size"].to_numpy(np.int64), number * (most - passes), rest)
+        return lengths[["known", "source", "size", "source_size", "target"]].assign(passes=passes + chosen // number, chosen=chosen % number)
 
     planned = (
         by_length.join(F.broadcast(budget_rows), ["known", "source"])
         .groupBy("known", "source")
-        .applyInPandas(lambda p: plan(p.sort_values("size")), "known boolean, source string, size long, source_size long, target double, passes int, chosen long")
+        .applyInPandas(lambda p: plan(p.sort_values("size")), "known boolean, source string, size long, source_size long, target double, passes long, chosen long")
     )
     before = Window.partitionBy("known", "source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     quotas = parts.join(planned, ["known", "source", "size"]).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
     quotas = quotas.select("known", "source", "size", "salt", "source_size", "target", "passes", F.greatest(F.lit(0), F.least("n", F.col("chosen") - F.col("before"))).alias("quota"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("known", "source", "size", "salt").orderBy("rank_by", "doc_id")))
-    times = F.col("passes") + (F.col("rank") <= F.col("quota")).cast("int")
+    times = (F.col("passes") + (F.col("rank") <= F.col("quota")).cast("long")).cast("int")
     return ranked.join(quotas, ["known", "source", "size", "salt"]).select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"), times.alias("times"))
 
 
