@@ -113,6 +113,8 @@ def remove(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "sou
 
 def clean(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "source") -> DataFrame:
     """``docs`` with cleaned texts; columns as in ``docs``."""
-    done = remove(docs, rules, site)
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), "doc_id", "text", site)
+    done = remove(packed, rules, site)
     own = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return done.select(*[(own[c] if c in own else F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return done.select(*[own.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])

@@ -133,6 +133,7 @@ def assess(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
 
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that are kept, with the lines that passed as their text; columns as in ``docs``."""
-    kept = assess(docs, rules).where("kept")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    kept = assess(packed, rules).where("kept")
     own = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return kept.select(*[own.get(c, F.col(f"`{c}`")).alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[own.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
