@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import digest, htmltext, licences, linededup, mixing, neardup, packing, quality, tokencount, warc
-from .shared import table
+from .shared import NOT_SPACE, SPACE, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,6 +27,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
+def _quality_sql(rules: quality.LineRules = quality.LineRules()) -> str:
+    text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    word, count = text(f"{NOT_SPACE}+"), lambda pattern, x: f"len(regexp_extract_all({x}, {text(pattern)}))"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS words FROM documents),
+spots AS (SELECT doc_id, words, unnest(range(0, len(words) - {rules.window - 1})) AS i FROM d),
+twice AS (SELECT doc_id, i FROM spots QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(words[i + 1 : i + {rules.window}], ' ')) > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {rules.window})) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, x, {count(NOT_SPACE + "+", "x")} AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{NOT_SPACE}')),
+judged AS (SELECT *, (regexp_matches(right(x, 16), {text(rules.ending)}) OR n < {rules.heading_words}) AND NOT (n <= {rules.boilerplate_words} AND regexp_matches(x, {text(rules.boilerplate)}))
+  AND NOT {count(quality.SYMBOLS, "x")} > {rules.max_symbol_ratio} * n
+  AND NOT (n >= 2 AND {count(rules.separators, "x")} >= {rules.min_separators} AND n <= {rules.words_per_separator} * {count(rules.separators, "x")}) AS good FROM lines),
+per AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, coalesce(sum(length(regexp_replace(x, '{SPACE}+', '', 'g'))) FILTER (good), 0) AS kept FROM judged GROUP BY doc_id),
+told AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {count(quality.SYMBOLS, "t")}::BIGINT AS n_symbols,
+  coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(kept, 0)::BIGINT AS kept_chars
+  FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN again ON d.doc_id = again.doc_id),
+base AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM told)
+SELECT *, NOT base_failed AND kept_chars >= {rules.min_kept} * word_chars AS kept FROM base
+"""
+
+
+ORACLE_SQL["op10_quality_rules"] = _quality_sql()
+
+
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
