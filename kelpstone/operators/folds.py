@@ -21,12 +21,27 @@ LOGICAL_MAX = 0xFFFF
 
 
 def hlc_now(events: DataFrame, node: str = "node", seq: str = "seq", physical: str = "physical") -> DataFrame:
-    """Clock values of purely local events, in closed form: running maximum, and rank among events since it last rose."""
-    order = Window.partitionBy(node).orderBy(seq)
-    phys = F.greatest(F.max(physical).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
-    since = events.withColumn("phys", phys)
-    rank = F.row_number().over(Window.partitionBy(node, "phys").orderBy(seq)) - 1
-    return since.withColumn("logical", F.when(F.col("phys") == 0, rank + 1).otherwise(rank).cast("int"))
+    """Clock values of purely local events, in closed form: running maximum, and rank among events since it last rose.
+
+    A node may have most of the events, so histories are cut by quantiles of ``seq``. What a stretch takes over from those before it
+    (their maximum, and how many events share its first clock time) is computed from one row per stretch, and per clock time in it.
+    """
+    wanted = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = events.agg(F.percentile_approx(seq, [i / wanted for i in range(1, wanted)] or [0.5], 10 * wanted).alias("at")).first()["at"]
+    bounds = F.lit(sorted(set(found or []))).cast("array<bigint>")
+    cut = events.withColumn("__part", F.size(F.filter(bounds, lambda b: b <= F.col(seq))))
+    before = Window.partitionBy(node).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(node, "__part").agg(F.max(physical).alias("__most")).select(node, "__part", F.greatest(F.max("__most").over(before), F.lit(0)).alias("__carried"))
+    local = F.max(physical).over(Window.partitionBy(node, "__part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
+    rows = cut.withColumn("__local", local).join(carried, [node, "__part"]).withColumn("phys", F.greatest("__local", "__carried"))
+    # Times rise along a history: of a stretch, only the first can have begun in stretches before it.
+    earlier = Window.partitionBy(node, "phys").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(node, "__part", "phys").agg(F.count("*").alias("__n")).withColumn("__offset", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    first = counts.groupBy(node, "__part").agg(F.min("phys").alias("__first"), F.min_by("__offset", "phys").alias("__offset"))
+    rank = F.row_number().over(Window.partitionBy(node, "__part", "phys").orderBy(seq)) - 1
+    ranked = rows.withColumn("__rank", rank).join(first, [node, "__part"])
+    logical = F.col("__rank") + F.when(F.col("phys") == F.col("__first"), F.col("__offset")).otherwise(0)
+    return ranked.withColumn("logical", F.when(F.col("phys") == 0, logical + 1).otherwise(logical).cast("int")).select(*events.columns, "phys", "logical")
 
 
 def hlc_step(state: tuple[int, int], kind: str, now: int, remote: tuple[int, int] | None = None) -> tuple[int, int]:
