@@ -95,8 +95,10 @@ def _furniture(name: str, raw: str, inside: bool) -> bool:
         return True
     if name in HEADINGS:
         return False
-    marked = f"{found.get('class', '')} {found.get('id', '')}"
-    return not (OTHER_ARTICLES if name == "article" else MARKS).isdisjoint(w.lower() for w in _WORDS.findall(marked))
+    marked = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    if inside:  # an article's own header holds its title
+        marked.discard("header")
+    return not (OTHER_ARTICLES if name == "article" else MARKS).isdisjoint(marked)
 
 
 class Page:

@@ -10,6 +10,7 @@ from kelpstone.llm import htmltext, warc
 CASES = {
     "<html><body class='has-sidebar'><div id=main><h1>T</h1><p>One<p>Two &lt;b&gt;<div class='ad-box'>buy</div><ul><li>a<li>b</ul><div class=comments><p>hi</p></div></div><footer>f": "T\nOne\nTwo <b>\na\nb",
     "<article><header><h1>Title <i>x</i></h1><p>By me</p></header><p>Text<br>more&nbsp; text</p><section class=newsletter><p>join</p></section><!-- <p>x</p> --><form>f</form><p>End</article><article class=comment>nice</article>": "Title x\nText more text\nEnd",
+    "<article><div class='article-header'><h1>T</h1></div><div id=cookie-notice>c</div><p>x</article>": "T\nx",
     "plain text &amp; more": "plain text & more",
     "": "",
     "<p>a < b and c</p>": "a < b and c",
