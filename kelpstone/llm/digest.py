@@ -103,14 +103,14 @@ def fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") ->
     return docs.withColumn(to, of(F.coalesce(F.col(text), F.lit(""))))
 
 
-def _range_number(bounds: list[int], column: str) -> Column:
-    """How many bounds the column reaches, by halving; a null reaches all."""
+def _range_number(bounds: list[int], value: str) -> Column:
+    """How many bounds an expression reaches, by halving; a null reaches all."""
 
     def tree(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"IF(`{column}` < {bounds[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
+        return f"IF({value} < {bounds[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
     return F.expr(tree(0, len(bounds)))
 
@@ -169,7 +169,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         dealt = rows.select(F.lit(0).alias("__range"), F.lit(False).alias("__lent"), "doc_id", "text").coalesce(1)
     else:
         number = _range_number(bounds, "doc_id")
-        begins = F.col("doc_id").isin(bounds) if len(bounds) < 64 else F.array_contains(F.lit(bounds).cast("array<bigint>"), F.col("doc_id"))
+        # A row begins a range if the id before it lies in the range before. (The smallest id has none before it.)
+        begins = F.col("doc_id").isNotNull() & (number > _range_number(bounds, "try_subtract(doc_id, 1L)"))
         lent = F.when(F.col("doc_id") == low, F.lit(len(bounds))).when(begins, number - 1)
         places = F.array_compact(F.array(F.struct(number.alias("__range"), F.lit(False).alias("__lent")), F.when(lent.isNotNull(), F.struct(lent.alias("__range"), F.lit(True).alias("__lent")))))
         dealt = rows.select(F.explode(places).alias("__place"), "doc_id", "text").select("__place.*", "doc_id", "text").repartition(parts, "__range")
