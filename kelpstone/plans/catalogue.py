@@ -18,6 +18,7 @@ from .. import errors
 from ..config import role_column
 from ..functions import clocks, codec, hashing, text
 from ..operators import ann, bloom, catalogue, folds, log, merge, metrics, routing, vectors, versions
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -128,6 +129,25 @@ def wal_memory(spark, sf_dir):
     return log.memory(rows)
 
 
+@query("""SELECT event_id AS lsn, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END::TINYINT AS op, user_id::VARCHAR AS key,
+  CASE WHEN event_type <> 'error' THEN props END AS value FROM events""")
+def wal_codec(spark, sf_dir):
+    """All mutations as binary records, and back."""
+    rows = event_log(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), "props"), "lsn")
+    rows = rows.select("lsn", "op", F.col("key").cast("string").alias("key"), F.when(F.col("op") == 1, F.col("props").cast("binary")).alias("value"))
+    back = files.decode_records(files.encode_log(rows))
+    return back.select("lsn", "op", "key", F.col("value").cast("string").alias("value"))
+
+
+@query("""SELECT n_nationkey AS shard, 'node' || n_regionkey AS node, h.status, h.reported FROM nation
+LEFT JOIN (SELECT 'node' || (user_id % 4) AS node, arg_max(event_type, event_id) AS status, max(event_id) AS reported FROM events GROUP BY 1) h ON h.node = 'node' || n_regionkey""")
+def cluster_topology(spark, sf_dir):
+    node = lambda c: F.concat(F.lit("node"), c.cast("string"))
+    shards = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("shard"), node(F.col("n_regionkey")).alias("node"))
+    health = _table(spark, sf_dir, "events").select(node(F.pmod("user_id", F.lit(4))).alias("node"), F.col("event_type").alias("status"), F.col("event_id").alias("ts"))
+    return routing.topology(shards, health).select("shard", "node", "status", "reported")
+
+
 # Runs, merges, catalogue.
 @query(f"{_RUNS} SELECT run, key, value, is_tombstone, seq FROM runs")
 def flush_runs(spark, sf_dir):

@@ -80,3 +80,14 @@ def encode_log(log: DataFrame) -> DataFrame:
 
     rows = log.select("lsn", F.col("op").cast("tinyint").alias("op"), "key", "value")
     return rows.mapInPandas(encode, MUTATION + ", record binary")
+
+
+def decode_records(records: DataFrame, column: str = "record") -> DataFrame:
+    """Mutations of single binary records; a damaged one is left out."""
+
+    def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [r for data in batch[column] for r in decode_log(bytes(data))]
+            yield pd.DataFrame(rows, columns=["lsn", "op", "key", "value"])
+
+    return records.select(column).mapInPandas(decode, MUTATION)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -33,9 +34,12 @@ def latest_of_stream(stream: DataFrame, order: str = "lsn") -> DataFrame:
 
 def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Runs a bounded stream to its end and returns its result table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    spark = df.sparkSession
+    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):  # state goes where all executors see it
+        writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}")
+    writer.start().awaitTermination()
+    return spark.table(name)
 
 
 def raft_stream(events: DataFrame) -> DataFrame:

@@ -128,3 +128,11 @@ def test_clocks(spark):
     assert clock.now() == 150 and clocks.PhysicalClock().now() > 10**15
     packed = clocks.pack(F.lit(200), F.lit(6))
     assert list(one(spark, clocks.physical(packed), clocks.logical(packed))) == [200, 6]
+
+
+def test_jobs_run_in_order_and_raise():
+    from kelpstone.plans.jobs import run_all
+
+    assert run_all([lambda i=i: i * i for i in range(8)]) == [i * i for i in range(8)]
+    with pytest.raises(ZeroDivisionError):
+        run_all([lambda: 1 / 0])
