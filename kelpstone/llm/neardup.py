@@ -16,8 +16,8 @@ at any size of the corpus. The idf factor runs from 1 to 1.2 only: copies made
 in thousands make their shingles frequent, and with an unbounded factor the few
 words in which they differ would outweigh the text they share.
 
-Verification. In each bucket all texts are compared with the first one, blocks
-of them at a time. What that doesn't join to the bucket's first class is
+Verification. In each bucket all texts are compared with its most central one,
+blocks of them at a time. What that doesn't join to that one's class is
 compared with every other text of the bucket, again in blocks, so that no
 candidate pair of different classes is left out; texts of one class need no
 further comparison. Neither step emits pairs: each emits links that span what
@@ -50,8 +50,8 @@ from .shared import materialize
 
 BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
-#: Texts that are compared at a time: with a bucket's first text, and later rows by columns.
-STAR, FEW, MANY = 128, 64, 256
+#: Texts that are compared at a time: with a bucket's central text, and later few by many.
+STAR, FEW, MANY = 128, 256, 512
 #: Texts whose shingles are held before they are dealt to their groups.
 SLICE = 512
 CHUNK = 4096
@@ -216,8 +216,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = rows.where(F.col("bands").isNotNull())
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     placed = materialize(nodes.select("node", "rep", F.posexplode("bands").alias("band", "hash")).select("node", "rep", F.xxhash64("band", "hash").alias("bucket")), "bands")
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(placed.join(buckets, "bucket"), "candidates")
+    # A bucket's first text is the one that shares most buckets with most others: of copies of one original, that is the original or near it.
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(placed.join(sizes, "bucket"), "shared-bands")
+    central = shared.groupBy("node").agg(F.sum("n").alias("score"))
+    scored = materialize(shared.join(central, "node"), "scored-bands")
+    leaders = scored.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
+    members = materialize(scored.join(leaders, "bucket").select("node", "rep", "bucket", "n", "leader"), "candidates")
 
     # One text for each node that has candidates. Its row is found by id and hash.
     wanted = members.select(F.col("node").alias("__node"), F.col("rep").alias("__rep")).distinct()
