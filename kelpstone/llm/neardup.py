@@ -55,6 +55,8 @@ STAR, FEW, MANY = 128, 256, 512
 #: Texts whose shingles are held before they are dealt to their groups.
 SLICE = 512
 CHUNK = 4096
+#: Texts with candidates up to which their list (some 50 bytes each) is broadcast to find them.
+BROADCAST_NODES = 200_000
 
 _rng = np.random.default_rng(8)
 # The variates of the method by 16 bits of a hash: r and c from Gamma(2, 1), b uniform.
@@ -225,7 +227,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = materialize(scored.join(leaders, "bucket").select("node", "rep", "bucket", "n", "leader"), "candidates")
 
     # One text for each node that has candidates. Its row is found by id and hash.
-    wanted = members.select(F.col("node").alias("__node"), F.col("rep").alias("__rep")).distinct()
+    wanted = materialize(members.select(F.col("node").alias("__node"), F.col("rep").alias("__rep")).distinct(), "wanted-texts")
+    if wanted.count() <= BROADCAST_NODES:  # the texts stay where they are; beyond, both sides are shuffled by node
+        wanted = F.broadcast(wanted)
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
     found = hashed.join(wanted, (F.col("node") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__rep")))
     texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "candidate-texts")

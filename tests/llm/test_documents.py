@@ -294,6 +294,7 @@ def test_buckets_larger_than_a_block(spark, monkeypatch):
     monkeypatch.setattr(neardup, "STAR", 3)
     monkeypatch.setattr(neardup, "FEW", 2)
     monkeypatch.setattr(neardup, "MANY", 3)
+    monkeypatch.setattr(neardup, "BROADCAST_NODES", -1)
     test_near_duplicates_are_those_of_brute_force(spark)
 
 
