@@ -34,6 +34,8 @@ class LineRules:
 
     #: A line passes the punctuation rule if it ends so (closing quotes and brackets may follow).
     ending: str = r"[.!?:;,…。！？][\"'”’»)\]]*" + SPACE + "*$"
+    #: So does a line that is cut off but has a sentence's end inside.
+    sentence: str = r"[.!?…][\"'”’»)\]]* "
     #: Lines of fewer words than this need no ending (headings).
     heading_words: int = 12
     #: Separators of menus and breadcrumbs, so many of them in a line of at most words_per_separator words each.
@@ -99,7 +101,7 @@ def passes(line: Column, rules: LineRules) -> Column:
         menu = (n_words >= 2) & let(separators, lambda n: (n >= rules.min_separators) & (n_words <= rules.words_per_separator * n))
         symbols = F.regexp_count(line, F.lit(SYMBOLS)) > rules.max_symbol_ratio * n_words
         furniture = (n_words <= rules.boilerplate_words) & line.rlike(rules.boilerplate)
-        return (end.rlike(rules.ending) | (n_words < rules.heading_words)) & ~furniture & ~symbols & ~menu
+        return (end.rlike(rules.ending) | (n_words < rules.heading_words) | line.rlike(rules.sentence)) & ~furniture & ~symbols & ~menu
 
     return let(F.size(F.split(F.trim(line), SPACE + "+")), judged)
 

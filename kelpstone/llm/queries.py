@@ -36,7 +36,7 @@ spots AS (SELECT doc_id, words, unnest(range(0, len(words) - {rules.window - 1})
 twice AS (SELECT doc_id, i FROM spots QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(words[i + 1 : i + {rules.window}], ' ')) > 1),
 again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {rules.window})) AS p FROM twice) GROUP BY doc_id),
 lines AS (SELECT doc_id, x, {count(NOT_SPACE + "+", "x")} AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{NOT_SPACE}')),
-judged AS (SELECT *, (regexp_matches(right(x, 16), {text(rules.ending)}) OR n < {rules.heading_words}) AND NOT (n <= {rules.boilerplate_words} AND regexp_matches(x, {text(rules.boilerplate)}))
+judged AS (SELECT *, (regexp_matches(right(x, 16), {text(rules.ending)}) OR n < {rules.heading_words} OR regexp_matches(x, {text(rules.sentence)})) AND NOT (n <= {rules.boilerplate_words} AND regexp_matches(x, {text(rules.boilerplate)}))
   AND NOT {count(quality.SYMBOLS, "x")} > {rules.max_symbol_ratio} * n
   AND NOT (n >= 2 AND {count(rules.separators, "x")} >= {rules.min_separators} AND n <= {rules.words_per_separator} * {count(rules.separators, "x")}) AS good FROM lines),
 per AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, coalesce(sum(length(regexp_replace(x, '{SPACE}+', '', 'g'))) FILTER (good), 0) AS kept FROM judged GROUP BY doc_id),
