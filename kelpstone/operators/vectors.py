@@ -1,4 +1,4 @@
-"""Vector distances and exact nearest neighbours. Advertised by the reference, not implemented there; public definitions are followed."""
+"""Vector distances and exact nearest neighbours. By their public definitions."""
 
 from __future__ import annotations
 

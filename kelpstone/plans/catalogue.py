@@ -286,7 +286,11 @@ def fnv1a64_shard(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(name.alias("key"), hashing.fnv1a64_hex(name).alias("hash"), hashing.shard(name, 16).alias("shard"))
 
 
-@query()
+_BITS = "flatten(list_transform(range(1, length(c_name) + 1), lambda i: list_transform(range(0, 8), lambda k: ((ord(c_name[i]) >> k) & 1)::BIGINT)))"
+
+
+@query(f"""SELECT c_name AS key, xor(list_reduce(list_prepend(4294967295::BIGINT, {_BITS}), lambda c, b: xor(c >> 1, CASE WHEN (xor(c, b) & 1) = 1 THEN 3988292384 ELSE 0 END::BIGINT)), 4294967295) AS crc
+FROM customer""")
 def crc32_keys(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select(F.col("c_name").alias("key"), hashing.crc32(F.col("c_name")).alias("crc"))
 
