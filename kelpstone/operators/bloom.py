@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,11 @@ def build(keys: DataFrame, key: str, bits: int, hashes: int) -> DataFrame:
 
 
 def might_contain(probes: DataFrame, key: str, filter_words: DataFrame, bits: int, hashes: int) -> DataFrame:
-    """``probes`` with ``maybe``. The filter is one row of at most bits / 8 bytes per word map; it is broadcast, its size being set by ``bits``."""
-    words = filter_words.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("word", "value")))).alias("__words"))
-    length = (bits + 31) // 32
-    dense = words.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")), lambda w: F.coalesce(F.try_element_at("__words", w), F.lit(0).cast("long"))).alias("__dense"))
-    hit = F.forall(positions(F.col(key), bits, hashes), lambda p: F.call_function("shiftright", F.get("__dense", F.floor(p / 32).cast("int")), (p % 32).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1)
-    return probes.join(F.broadcast(dense)).withColumn("maybe", hit).drop("__dense")
+    """``probes`` with ``maybe``. The filter is a scalar of bits / 8 bytes, a size set by its maker, that every task gets once."""
+    every = probes.sparkSession.range((bits + 31) // 32).withColumnRenamed("id", "word")
+    filled = every.join(filter_words, "word", "left").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("value", F.lit(0).cast("long")).alias("value")))).alias("__words"))
+    dense = filled.select(F.col("__words.value")).scalar()
+    bit = lambda p: F.call_function("shiftright", F.get(dense, F.floor(p / 32).cast("int")), (p % 32).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    at = probes.withColumn("__at", positions(F.col(key), bits, hashes))
+    # One test per hash: a scalar can't stand inside a lambda.
+    return at.withColumn("maybe", reduce(and_, [bit(F.get("__at", F.lit(i))) == 1 for i in range(hashes)])).drop("__at")
