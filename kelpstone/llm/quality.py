@@ -136,6 +136,7 @@ def assess(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text")
 def clean(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """The documents that are kept, with the lines that passed as their text; columns as in ``docs``."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
-    kept = assess(packed, rules).where("kept")
+    # The row number keeps the filter above the projection: below it, all that the verdict rests on would be computed a second time.
+    kept = assess(packed, rules).withColumn("__row_number", F.monotonically_increasing_id()).where(F.col("kept") & (F.col("__row_number") >= 0))
     own = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return kept.select(*[own.get(c, F.col("__row").getField(c)).alias(c) for c in docs.columns])
