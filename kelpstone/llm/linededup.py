@@ -10,8 +10,8 @@ another, which is the near-duplicate operator's matter, not page furniture.
 Defined results
 ---------------
 null text: stays null; empty text: stays empty. Lines without a word are
-neither counted nor removed. Long lines (over ``max_chars`` code points) are
-prose and stay. A null site counts as a site of its own. Null or repeated ``doc_id``
+neither counted nor removed. Lines count whatever their length, unless
+``max_chars`` is set, by which longer ones stay (``ANY_LENGTH`` sets none). A null site counts as a site of its own. Null or repeated ``doc_id``
 and repeated rows: each row is treated by its text. Extra columns pass
 through. An empty table gives an empty table.
 
@@ -39,8 +39,8 @@ from .shared import NOT_SPACE, SPACE, let, materialize
 class SpreadRules:
     #: Distinct sites from which on a line is boilerplate.
     min_sites: int = 5
-    #: Lines of more code points are prose.
-    max_chars: int = 160
+    #: Lines of more code points are neither counted nor removed. None: lines of any length count.
+    max_chars: int | None = 160
     #: log2 of the sketch's registers: a standard error of about 1.6 % at 12.
     lg_k: int = 12
     #: Estimates within this share of the threshold (and within 2) are counted exactly.
@@ -49,13 +49,18 @@ class SpreadRules:
     max_removed: float = 0.5
 
 
+#: The rules of the query and of the pipeline: only hashes travel, so that a line's length costs nothing.
+ANY_LENGTH = SpreadRules(max_chars=None)
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
 def _counts(line: Column, rules: SpreadRules) -> Column:
-    """Whether a line is of the kind that is counted: it has a word and isn't long."""
-    return (F.length(line) <= rules.max_chars) & line.rlike(NOT_SPACE)
+    """Whether a line is of the kind that is counted: it has a word and isn't longer than the rules' bound."""
+    worded = line.rlike(NOT_SPACE)
+    return worded if rules.max_chars is None else (F.length(line) <= rules.max_chars) & worded
 
 
 def line_sites(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "source") -> DataFrame:

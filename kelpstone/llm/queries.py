@@ -58,7 +58,7 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.remove(table(spark, sf_dir, "documents"))
+    out = linededup.remove(table(spark, sf_dir, "documents"), linededup.ANY_LENGTH)
     return out.select("doc_id", "n_removed", "copied", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 

@@ -92,6 +92,22 @@ def test_boilerplate_lines(spark):
     assert out[200].clean_text is None and out[201].clean_text == "" and out[202].copied
 
 
+def test_cross_site_lines_of_any_length_go(spark, tmp_path):
+    import corpus_pipeline
+    from kelpstone.llm import queries
+
+    rnd = random.Random(8)
+    sentence = lambda n: " ".join(rnd.choice(VOCABULARY) + str(rnd.randint(0, 99)) for _ in range(n)) + "."
+    passage, local = sentence(60), sentence(60)
+    rows = [(i, f"{sentence(80)}\n{passage}\n{sentence(80)}" + (f"\n{local}" if i < 4 else ""), f"site{i % 6}", 1) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {i: t.replace(f"\n{passage}", "") for i, t, *_ in rows}  # the other passage is on four sites only
+    out = queries.QUERIES["op5_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.n_removed, r.clean_sha256) for r in out} == {i: (1, hashlib.sha256(t.encode()).hexdigest()) for i, t in expected.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == expected
+
+
 def test_digest_of_next(docs):
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or "") for r in docs.collect()))
     expected = Counter()
