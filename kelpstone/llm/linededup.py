@@ -4,8 +4,10 @@ Each line is hashed. HyperLogLog sketches of the sites that carry it are built
 per line hash, map side first, and merged by the aggregation. Lines whose
 estimate lies near the threshold get an exact count of distinct sites. Lines on
 at least ``min_sites`` sites are boilerplate and are removed everywhere, but
-from documents that consist mostly of such lines: those are copies of one
-another, which is the near-duplicate operator's matter, not page furniture.
+from documents that consist of such lines wholly: those are copies of one
+another, which is the near-duplicate operator's matter, not page furniture. A
+document with a line of its own keeps that line and loses the others, whatever
+their share; this holds for a copy with an altered line, too.
 
 Defined results
 ---------------
@@ -32,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, SPACE, let, materialize
+from .shared import NOT_SPACE, let, materialize
 
 
 @dataclass(frozen=True)
@@ -45,8 +47,6 @@ class SpreadRules:
     lg_k: int = 12
     #: Estimates within this share of the threshold (and within 2) are counted exactly.
     near: float = 0.1
-    #: A document with more than this share of its characters in boilerplate lines is left as it is.
-    max_removed: float = 0.5
 
 
 #: The rules of the query and of the pipeline: only hashes travel, so that a line's length costs nothing.
@@ -90,7 +90,7 @@ def boilerplate(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str =
 
 
 def remove(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "source") -> DataFrame:
-    """``docs`` with ``clean_text``, ``n_removed`` (lines) and ``copied`` (left alone, as it is mostly such lines)."""
+    """``docs`` with ``clean_text``, ``n_removed`` (lines) and ``copied`` (left alone, as it has no other lines with a word)."""
     bad = materialize(boilerplate(docs, rules, site).select("line"), "boilerplate-lines")
     own = docs.columns
     key = F.xxhash64("text")
@@ -102,8 +102,7 @@ def remove(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "sou
 
     def cut(lines: Column) -> Column:
         good = F.filter(lines, lambda x: ~(_counts(x, rules) & F.array_contains(F.col("__bad"), F.xxhash64(F.trim(x)))))
-        size = lambda xs: F.length(F.regexp_replace(F.array_join(xs, ""), SPACE + "+", ""))
-        return let(good, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"), (size(kept) < (1 - rules.max_removed) * size(lines)).alias("copied")))
+        return let(good, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"), (~F.exists(kept, lambda x: x.rlike(NOT_SPACE))).alias("copied")))
 
     cutting = F.when(F.col("__bad").isNotNull() & F.col("text").isNotNull(), let(_lines(F.col("text")), cut))
     out = joined.select(*[F.col(f"`{c}`") for c in own if c not in ("clean_text", "n_removed", "copied")], cutting.alias("__cut"))

@@ -108,6 +108,16 @@ def test_cross_site_lines_of_any_length_go(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, str(tmp_path)).collect()} == expected
 
 
+def test_short_pages_lose_cross_site_lines_that_are_most_of_them(spark):
+    furniture = "Accept all of our cookies here\nSubscribe to our newsletter today"
+    rows = [(i, f"{furniture}\nOwn {i}", f"site{i % 6}") for i in range(12)] + [(50 + i, f"{furniture}\n \nTwice", "site0") for i in range(2)] + [(90, f"{furniture}\n ", "site1")]
+    for rules in (linededup.SpreadRules(), linededup.ANY_LENGTH):
+        out = {r.doc_id: r for r in linededup.remove(spark.createDataFrame(rows, "doc_id long, text string, source string"), rules).collect()}
+        assert all((out[i].clean_text, out[i].n_removed, out[i].copied) == (f"Own {i}", 2, False) for i in range(12))
+        assert all((out[i].clean_text, out[i].n_removed, out[i].copied) == (" \nTwice", 2, False) for i in (50, 51))
+        assert (out[90].clean_text, out[90].n_removed, out[90].copied) == (rows[-1][1], 0, True)
+
+
 def test_digest_of_next(docs):
     rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text is not None, r.text or "") for r in docs.collect()))
     expected = Counter()
