@@ -1,7 +1,10 @@
 """Licence scans (operator 7): an exact set-similarity join, DataFrame functions only.
 
-Text blocks (lines) are sets of words, licence templates too. A block meets a
-template if it holds at least ``threshold`` of the template's words. To find
+Text blocks are sets of words, licence templates too. Blocks are the lines of a
+text, and overlapping windows of its words whatever the line breaks, so that a
+notice meets its template however it is wrapped. Windows are cut by the length
+of a template; longer ones would hold a short template's words by chance. A
+block meets a template if it holds at least ``threshold`` of the template's words. To find
 all such pairs without comparing all, words are ordered by how many blocks
 hold them, rarest first: a block that meets a template of n words, k of them
 needed, has one of the template's n - k + 1 rarest words (prefix filter), has k
@@ -21,7 +24,8 @@ where a base phrase occurs, else 0.
 Scale
 -----
 One pass over the texts keeps, by document, its counts and the template words
-of its lines, in a table in the shared folder. Word frequencies are counted
+of its blocks, in a table in the shared folder. Blocks are made only of texts
+that hold enough words of a template as a whole; no block of others can. Word frequencies are counted
 from it: at most one row for each template word on the driver. The index is as
 small and is broadcast. Matches are grouped by document and text hash.
 """
@@ -32,6 +36,8 @@ import math
 import re
 import string
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -87,6 +93,16 @@ def needed(template: Template, threshold: float) -> int:
     return max(1, math.ceil(round(threshold * len(template.words), 9)))
 
 
+def _length(template: Template) -> int:
+    return len(re.findall(WORD, template.text.translate(_LOWER)))
+
+
+def windows(length: int) -> tuple[int, int]:
+    """Size and stride, in words, of windows of which one holds any run of words up to a quarter longer than a template of ``length`` words."""
+    stride = max(1, length // 4)
+    return math.ceil(1.25 * length) + stride - 1, stride
+
+
 def _places(words: Column, phrase: tuple[str, ...]) -> Column:
     """Where a phrase begins, as word numbers."""
 
@@ -112,12 +128,28 @@ def _base(words: Column) -> Column:
     return let(found, told)
 
 
-def prepared(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """By document: n_words, the base phrases' struct (null where none can be), and the template words of each line."""
+def prepared(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+    """By document: n_words, the base phrases' struct (null where none can be), and the template words of each block (none where no block can meet a template).
+
+    A block is for templates of at least ``length`` words.
+    """
     vocabulary = sorted({w for t in templates for w in t.words})
     lower = F.translate(F.coalesce("text", F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     by_line = F.transform(F.split("__lower", "\n", -1), lambda x: F.regexp_extract_all(x, F.lit(f"({WORD})")))
     one = docs.select(F.col("doc_id"), F.xxhash64("text").alias("__key"), lower.alias("__lower")).select("doc_id", "__key", "__lower", by_line.alias("__lines"))
+    block = lambda words, among, length: F.struct(F.array_intersect(words, F.lit(among)).alias("words"), F.lit(length).alias("length"))
+    one = one.withColumn("__common", F.array_intersect(F.flatten("__lines"), F.lit(vocabulary)))
+    able = lambda some: reduce(or_, [F.size(F.array_intersect("__common", F.lit(list(t.words)))) >= needed(t, threshold) for t in some])
+    no_blocks = F.array().cast("array<struct<words: array<string>, length: int>>")
+
+    def runs(words: Column, length: int) -> Column:
+        some = [t for t in templates if _length(t) == length]
+        among, least, (size, stride) = sorted({w for t in some for w in t.words}), min(needed(t, threshold) for t in some), windows(length)
+        cut = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(stride)), lambda i: block(F.slice(words, i, size), among, length))
+        return F.when(able(some), F.filter(cut, lambda x: F.size(x["words"]) >= least)).otherwise(no_blocks)
+
+    by_line = F.filter(F.transform("__lines", lambda x: block(x, vocabulary, 0)), lambda x: F.size(x["words"]) > 0)
+    by_window = let(F.flatten("__lines"), lambda words: F.concat(*[runs(words, n) for n in sorted({_length(t) for t in templates})]))
     # A phrase's rarest word must be there as letters before its places are looked for.
     may = F.contains("__lower", F.lit("reserved")) | F.contains("__lower", F.lit("general")) | F.contains("__lower", F.lit("cc"))
     return one.select(
@@ -125,14 +157,14 @@ def prepared(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Da
         "__key",
         F.aggregate("__lines", F.lit(0), lambda n, x: n + F.size(x)).cast("long").alias("n_words"),
         F.when(may, let(F.flatten("__lines"), _base)).alias("base"),
-        F.filter(F.transform("__lines", lambda x: F.array_intersect(x, F.lit(vocabulary))), lambda x: F.size(x) > 0).alias("blocks"),
+        F.when(able(templates), F.concat(by_line, by_window)).otherwise(no_blocks).alias("blocks"),
     )
 
 
 def matches(ready: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, __key, block, template, containment) for each block that meets a template. ``ready``: of ``prepared``, in a written table."""
     spark = ready.sparkSession
-    blocks = ready.select("doc_id", "__key", F.posexplode("blocks").alias("block", "words"))
+    blocks = ready.select("doc_id", "__key", F.posexplode("blocks").alias("block", "found")).select("doc_id", "__key", "block", "found.words", "found.length")
     counted = {r.word: r.n for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
     order = sorted({w for t in templates for w in t.words}, key=lambda w: (counted.get(w, 0), w))
     place = {w: i + 1 for i, w in enumerate(order)}
@@ -141,14 +173,14 @@ def matches(ready: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thres
         ranks, need = sorted(place[w] for w in t.words), needed(t, threshold)
         sets.append((k, ranks, need))
         for i, rank in enumerate(ranks[: len(ranks) - need + 1]):
-            index.append((rank, k, i, len(ranks), need))
+            index.append((rank, k, i, len(ranks), need, _length(t)))
             prefixes.add(order[rank - 1])
     least = min(need for _, _, need in sets)
     able = blocks.where((F.size("words") >= least) & F.arrays_overlap("words", F.lit(sorted(prefixes))))
-    ordered = able.select("doc_id", "__key", "block", F.array_sort(F.transform("words", lambda w: F.array_position(F.lit(order), w).cast("int"))).alias("ranks"))
-    each = ordered.select("doc_id", "__key", "block", "ranks", F.posexplode("ranks").alias("at", "rank"))
-    by_rank = F.broadcast(spark.createDataFrame(index, "rank int, template int, place int, words int, need int"))
-    length = F.size("ranks") >= F.col("need")
+    ordered = able.select("doc_id", "__key", "block", "length", F.array_sort(F.transform("words", lambda w: F.array_position(F.lit(order), w).cast("int"))).alias("ranks"))
+    each = ordered.select("doc_id", "__key", "block", "length", "ranks", F.posexplode("ranks").alias("at", "rank"))
+    by_rank = F.broadcast(spark.createDataFrame(index, "rank int, template int, place int, words int, need int, longest int"))
+    length = (F.size("ranks") >= F.col("need")) & (F.col("length") <= F.col("longest"))
     position = 1 + F.least(F.col("words") - F.col("place"), F.size("ranks") - F.col("at")) - 1 >= F.col("need")
     candidates = each.join(by_rank, "rank").where(length & position).select("doc_id", "__key", "block", "template", "ranks").dropDuplicates(["doc_id", "__key", "block", "template"])
     whole = F.broadcast(spark.createDataFrame(sets, "template int, all array<int>, need int"))
@@ -158,7 +190,7 @@ def matches(ready: DataFrame, templates: tuple[Template, ...] = TEMPLATES, thres
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
-    ready = materialize(prepared(docs, templates), "licence-words")
+    ready = materialize(prepared(docs, templates, threshold), "licence-words")
     names = F.lit([t.label for t in templates])
     met = matches(ready, templates, threshold).groupBy(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"))
     met = met.agg(F.collect_set(F.get(names, F.col("template"))).alias("__labels"), F.max("containment").alias("__most"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -274,6 +275,20 @@ def test_licences(docs):
         assert 0 <= r.score <= 1
 
 
+def test_licences_are_found_however_they_are_wrapped(spark):
+    rnd = random.Random(12)
+    rows, labels = [], {}
+    for template in licences.TEMPLATES:
+        for width in (24, 72):
+            for at in range(0, 60, 7):  # words before, so that the notice begins anywhere in a line and in a window
+                filler = lambda n: " ".join(rnd.choice(VOCABULARY) for _ in range(n))
+                labels[len(rows)] = template.label
+                rows.append((len(rows), textwrap.fill(f"{filler(at)} {template.text}. {filler(50)}", width)))
+    out = licences.scan(spark.createDataFrame([*rows, (-1, None), (-2, "under\nthe"), (-3, "MIT\nLicense")], "doc_id long, text string")).collect()
+    assert all(labels[r.doc_id] in r.labels.split(",") for r in out if r.doc_id >= 0)
+    assert all((r.labels, r.score) == ("", 0.0) for r in out if r.doc_id < 0)
+
+
 def weighted(texts):
     """Brute-force weighted sets, with exact document frequencies."""
     found = []
