@@ -5,7 +5,8 @@ mark a piece's end inside its last symbol. Such an encoding never joins across
 a space, so the ids of a text are those of its parts, one after the other.
 Parts seen before are looked up; new ones of Latin letters, digits and signs
 are merged in bulk by a byte-pair engine that takes ranks; all others go to the
-tokenizer itself.
+tokenizer itself. A text that holds an added token goes to the tokenizer whole,
+so its ids are the tokenizer's there, too.
 
 The rank engine merges any neighbours whose union is a token, the tokenizer
 only the pair from which the token was made. Both agree if every token is what
@@ -83,7 +84,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        #: A text that holds one of these goes to the tokenizer as a whole, which gives them ids of their own.
+        self.added = [x["content"].lower() for x in json.loads(definition)["added_tokens"]]
         self.known: dict[str, bytes] = {"": b""}
         self.engine = None if left_out is None else self._engine(json.loads(definition), set(left_out))
 
@@ -121,7 +123,16 @@ class WordEncoder:
         for word, found in zip(slow, self.tokenizer.encode_batch(slow, add_special_tokens=False) if slow else (), strict=True):
             into[word] = np.array(found.ids, "<u4").tobytes()
 
+    def _holds_added(self, text: str) -> bool:
+        # Few texts hold their first sign. Letters may differ in case where a token is sought in normalised text.
+        if not any(x[0] in text or x[0].upper() in text for x in self.added):
+            return False
+        low = text.lower()
+        return any(x in low for x in self.added)
+
     def encode(self, text: str) -> bytes:
+        if self._holds_added(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.known.__getitem__, parts))
