@@ -12,8 +12,9 @@ their share; this holds for a copy with an altered line, too.
 Defined results
 ---------------
 null text: stays null; empty text: stays empty. Lines without a word are
-neither counted nor removed. Lines count whatever their length, unless
-``max_chars`` is set, by which longer ones stay (``ANY_LENGTH`` sets none). A null site counts as a site of its own. Null or repeated ``doc_id``
+neither counted nor removed. Lines count whatever their length, and without
+the white space around them, so that a line with a carriage return or a tab is
+the same line. A null site counts as a site of its own. Null or repeated ``doc_id``
 and repeated rows: each row is treated by its text. Extra columns pass
 through. An empty table gives an empty table.
 
@@ -34,40 +35,45 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, let, materialize
+from .shared import BLANKS, NOT_SPACE, let, materialize
 
 
 @dataclass(frozen=True)
 class SpreadRules:
     #: Distinct sites from which on a line is boilerplate.
     min_sites: int = 5
-    #: Lines of more code points are neither counted nor removed. None: lines of any length count.
-    max_chars: int | None = 160
     #: log2 of the sketch's registers: a standard error of about 1.6 % at 12.
     lg_k: int = 12
     #: Estimates within this share of the threshold (and within 2) are counted exactly.
     near: float = 0.1
 
 
-#: The rules of the query and of the pipeline: only hashes travel, so that a line's length costs nothing.
-ANY_LENGTH = SpreadRules(max_chars=None)
+#: The default rules, by the name under which the pipeline knows them.
+ANY_LENGTH = SpreadRules()
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _counts(line: Column, rules: SpreadRules) -> Column:
-    """Whether a line is of the kind that is counted: it has a word and isn't longer than the rules' bound."""
-    worded = line.rlike(NOT_SPACE)
-    return worded if rules.max_chars is None else (F.length(line) <= rules.max_chars) & worded
+def _hashes(text: Column) -> Column:
+    """The distinct hashes of a text's lines that have a word."""
+    return F.array_distinct(F.transform(F.filter(_lines(F.coalesce(text, F.lit(""))), _worded), _hash))
 
 
-def line_sites(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "source") -> DataFrame:
+def _worded(line: Column) -> Column:
+    return line.rlike(NOT_SPACE)
+
+
+def _hash(line: Column) -> Column:
+    """Of a line without the white space around it; only hashes travel, so a line's length costs nothing."""
+    return F.xxhash64(F.btrim(line, F.lit(BLANKS)))
+
+
+def line_sites(docs: DataFrame, site: str = "source") -> DataFrame:
     """A row (line, site) for each distinct countable line of each document; ``line`` is the line's 64-bit hash."""
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda x: _counts(x, rules)), lambda x: F.xxhash64(F.trim(x))))
     # A null site is told from every site by its prefix.
-    return docs.select(F.when(F.col(site).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(site).cast("string"))).alias("site"), F.explode(hashes).alias("line"))
+    return docs.select(F.when(F.col(site).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(site).cast("string"))).alias("site"), F.explode(_hashes(F.col("text"))).alias("line"))
 
 
 def spread(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "source") -> DataFrame:
@@ -75,7 +81,7 @@ def spread(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "sou
 
     Only lines in at least ``min_sites`` documents appear; others can't be on that many sites.
     """
-    pairs = line_sites(docs, rules, site)
+    pairs = line_sites(docs, site)
     sketched = pairs.groupBy("line").agg(F.count("*").alias("n_docs"), F.hll_sketch_agg("site", F.lit(rules.lg_k)).alias("sketch"))
     estimated = sketched.where(F.col("n_docs") >= rules.min_sites).select("line", "n_docs", F.hll_sketch_estimate("sketch").alias("sites_estimate"))
     estimated = materialize(estimated, "line-sketches")
@@ -95,14 +101,13 @@ def remove(docs: DataFrame, rules: SpreadRules = SpreadRules(), site: str = "sou
     own = docs.columns
     key = F.xxhash64("text")
     # The removals of a document depend on its text only; its id keeps equal texts apart, so that no group of copies meets in one place.
-    hashes = F.array_distinct(F.transform(F.filter(_lines(F.coalesce("text", F.lit(""))), lambda x: _counts(x, rules)), lambda x: F.xxhash64(F.trim(x))))
-    seen = docs.select(F.col("doc_id").alias("__id"), key.alias("__key"), F.explode(hashes).alias("line"))
+    seen = docs.select(F.col("doc_id").alias("__id"), key.alias("__key"), F.explode(_hashes(F.col("text"))).alias("line"))
     found = seen.join(bad, "line").groupBy("__id", "__key").agg(F.collect_set("line").alias("__bad"))
     joined = docs.withColumn("__key", key).join(found.withColumnRenamed("__key", "__of"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__of")), "left")
 
     def cut(lines: Column) -> Column:
-        good = F.filter(lines, lambda x: ~(_counts(x, rules) & F.array_contains(F.col("__bad"), F.xxhash64(F.trim(x)))))
-        return let(good, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"), (~F.exists(kept, lambda x: x.rlike(NOT_SPACE))).alias("copied")))
+        good = F.filter(lines, lambda x: ~(_worded(x) & F.array_contains(F.col("__bad"), _hash(x))))
+        return let(good, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), (F.size(lines) - F.size(kept)).alias("n"), (~F.exists(kept, _worded)).alias("copied")))
 
     cutting = F.when(F.col("__bad").isNotNull() & F.col("text").isNotNull(), let(_lines(F.col("text")), cut))
     out = joined.select(*[F.col(f"`{c}`") for c in own if c not in ("clean_text", "n_removed", "copied")], cutting.alias("__cut"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 #: White space in the contracts of these operators: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
+BLANKS = " \t\n\x0b\x0c\r"
 
-__all__ = ["NOT_SPACE", "SPACE", "StorageLevel", "fresh", "let", "materialize", "shared_dir", "table"]
+__all__ = ["BLANKS", "NOT_SPACE", "SPACE", "StorageLevel", "fresh", "let", "materialize", "shared_dir", "table"]
 
 
 def shared_dir(spark: SparkSession) -> str:
