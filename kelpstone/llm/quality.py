@@ -12,6 +12,8 @@ Null or repeated ``doc_id`` and repeated rows: each row is judged by itself.
 Empty tables give empty results with the same columns.
 Extra columns pass through; if one bears the name of a result column, the
 result column replaces it.
+Words of a line are runs of anything but white space, so that tabs and carriage
+returns around a line change nothing.
 Very long texts: all work is linear in the text, but for one sort of window
 hashes in texts that do repeat a window.
 """
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NOT_SPACE, SPACE, let
+from .shared import BLANKS, NOT_SPACE, SPACE, let
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -33,7 +35,7 @@ class LineRules:
     """Limits of the line rules and of the verdict."""
 
     #: A line passes the punctuation rule if it ends so (closing quotes and brackets may follow).
-    ending: str = r"[.!?:;,…。！？][\"'”’»)\]]*" + SPACE + "*$"
+    ending: str = r"[.!?:;,…。！？][\"'”’»)\]]*$"
     #: So does a line that is cut off but has a sentence's end inside.
     sentence: str = r"[.!?…][\"'”’»)\]]* "
     #: Lines of fewer words than this need no ending (headings).
@@ -44,10 +46,14 @@ class LineRules:
     words_per_separator: int = 4
     #: Symbols for each word of a line.
     max_symbol_ratio: float = 0.5
-    #: Phrases of page furniture, tested on lines of at most boilerplate_words words.
+    #: Phrases of page furniture in English, German, Spanish and French, tested on lines of at most boilerplate_words words.
     boilerplate: str = (
         r"(?i)\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|log ?in|sign ?(?:up|in)"
-        r"|subscribe|newsletter|click here|read more|share (?:this|on)|follow us|skip to content|lorem ipsum)\b"
+        r"|subscribe|newsletter|click here|read more|share (?:this|on)|follow us|skip to content|lorem ipsum"
+        r"|alle rechte vorbehalten|impressum|nutzungsbedingungen|jetzt (?:anmelden|registrieren|abonnieren)|hier klicken|folgen sie uns|zum inhalt springen"
+        r"|todos los derechos reservados|aviso legal|iniciar sesi[oóÓ]n|leer m[aáÁ]s|suscr[iíÍ]bete|comparte en|s[iíÍ]guenos|saltar al contenido"
+        r"|tous droits r[eéÉ]serv[eéÉ]s|mentions l[eéÉ]gales|cliquez ici|lire la suite|abonnez-vous|partager sur|suivez-nous|aller au contenu)\b"
+        r"|\bha(?:ga|z) clic aqu"
     )
     boilerplate_words: int = 20
     #: Share of the characters in words that the cleaned text must keep.
@@ -94,7 +100,7 @@ def _covered(windows: Column, size: int) -> Column:
 
 def passes(line: Column, rules: LineRules) -> Column:
     """Whether a line with words passes the four rules."""
-    end = F.substring(line, -16, 16)
+    end = F.substring(F.rtrim(line, F.lit(BLANKS)), -16, 16)
 
     def judged(n_words: Column) -> Column:
         separators = F.regexp_count(line, F.lit(rules.separators))
@@ -103,7 +109,7 @@ def passes(line: Column, rules: LineRules) -> Column:
         furniture = (n_words <= rules.boilerplate_words) & line.rlike(rules.boilerplate)
         return (end.rlike(rules.ending) | (n_words < rules.heading_words) | line.rlike(rules.sentence)) & ~furniture & ~symbols & ~menu
 
-    return let(F.size(F.split(F.trim(line), SPACE + "+")), judged)
+    return let(F.regexp_count(line, F.lit(NOT_SPACE + "+")), judged)
 
 
 def assess(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import digest, htmltext, licences, linededup, mixing, neardup, packing, quality, tokencount, warc
-from .shared import NOT_SPACE, SPACE, table
+from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,30 +27,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars")
 
 
-def _quality_sql(rules: quality.LineRules = quality.LineRules()) -> str:
-    text = lambda pattern: "'" + pattern.replace("'", "''") + "'"
-    word, count = text(f"{NOT_SPACE}+"), lambda pattern, x: f"len(regexp_extract_all({x}, {text(pattern)}))"
-    return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {word}) AS words FROM documents),
-spots AS (SELECT doc_id, words, unnest(range(0, len(words) - {rules.window - 1})) AS i FROM d),
-twice AS (SELECT doc_id, i FROM spots QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(words[i + 1 : i + {rules.window}], ' ')) > 1),
-again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {rules.window})) AS p FROM twice) GROUP BY doc_id),
-lines AS (SELECT doc_id, x, {count(NOT_SPACE + "+", "x")} AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{NOT_SPACE}')),
-judged AS (SELECT *, (regexp_matches(right(x, 16), {text(rules.ending)}) OR n < {rules.heading_words} OR regexp_matches(x, {text(rules.sentence)})) AND NOT (n <= {rules.boilerplate_words} AND regexp_matches(x, {text(rules.boilerplate)}))
-  AND NOT {count(quality.SYMBOLS, "x")} > {rules.max_symbol_ratio} * n
-  AND NOT (n >= 2 AND {count(rules.separators, "x")} >= {rules.min_separators} AND n <= {rules.words_per_separator} * {count(rules.separators, "x")}) AS good FROM lines),
-per AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, coalesce(sum(length(regexp_replace(x, '{SPACE}+', '', 'g'))) FILTER (good), 0) AS kept FROM judged GROUP BY doc_id),
-told AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {count(quality.SYMBOLS, "t")}::BIGINT AS n_symbols,
+# Stated apart from the operator: limits and patterns are written out here.
+ORACLE_SQL["op10_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+spots AS (SELECT doc_id, words, unnest(range(0, len(words) - 7)) AS i FROM d),
+twice AS (SELECT doc_id, i FROM spots QUALIFY count(*) OVER (PARTITION BY doc_id, array_to_string(words[i + 1 : i + 8], ' ')) > 1),
+again AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+lines AS (SELECT doc_id, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+told AS (
+  SELECT *, regexp_matches(right(regexp_replace(x, '[\x20\x09-\x0D]+$', ''), 16), '[.!?:;,…。！？]["''”’»)\]]*$') AS ended,
+    regexp_matches(x, '[.!?…]["''”’»)\]]* ') AS sentence, len(regexp_extract_all(x, '[|»•·›>]')) AS separators, len(regexp_extract_all(x, '[#*$%&|<>]')) AS symbols,
+    regexp_matches(x, '(?i)\b(?:cookies?|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|log ?in|sign ?(?:up|in)|subscribe|newsletter|click here|read more|share (?:this|on)|follow us|skip to content|lorem ipsum)\b')
+    OR regexp_matches(x, '(?i)\b(?:alle rechte vorbehalten|impressum|nutzungsbedingungen|jetzt (?:anmelden|registrieren|abonnieren)|hier klicken|folgen sie uns|zum inhalt springen)\b')
+    OR regexp_matches(x, '(?i)\b(?:todos los derechos reservados|aviso legal|iniciar sesi[oó]n|leer m[aá]s|suscr[ií]bete|comparte en|s[ií]guenos|saltar al contenido)\b') OR regexp_matches(x, '(?i)\bha(?:ga|z) clic aqu')
+    OR regexp_matches(x, '(?i)\b(?:tous droits r[eé]serv[eé]s|mentions l[eé]gales|cliquez ici|lire la suite|abonnez-vous|partager sur|suivez-nous|aller au contenu)\b') AS phrase
+  FROM lines WHERE n > 0
+),
+judged AS (SELECT doc_id, x, (ended OR sentence OR n < 12) AND NOT (phrase AND n <= 20) AND symbols <= 0.5 * n AND NOT (n >= 2 AND separators >= 3 AND n <= 4 * separators) AS good FROM told),
+per AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dup, coalesce(sum(length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (good), 0) AS kept FROM judged GROUP BY doc_id),
+counts AS (SELECT d.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
   coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(again.n, 0)::BIGINT AS n_repeat_words, coalesce(kept, 0)::BIGINT AS kept_chars
   FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN again ON d.doc_id = again.doc_id),
-base AS (SELECT *, n_words < {rules.min_words} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM told)
-SELECT *, NOT base_failed AND kept_chars >= {rules.min_kept} * word_chars AS kept FROM base
+base AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
+SELECT *, NOT base_failed AND 2 * kept_chars >= word_chars AS kept FROM base
 """
 
 
-ORACLE_SQL["op10_quality_rules"] = _quality_sql()
-
-
 @query
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_with_next(table(spark, sf_dir, "documents"))
@@ -58,28 +60,24 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.remove(table(spark, sf_dir, "documents"), linededup.ANY_LENGTH)
+    out = linededup.remove(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_removed", "copied", F.length("clean_text").cast("long").alias("n_chars"), F.sha2("clean_text", 256).alias("clean_sha256"))
 
 
 ORACLE_SQL["op5_line_dedup"] = r"""
 WITH lines AS (
-  SELECT doc_id, source, n, x FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
-), kinds AS (
-  SELECT *, length(x) <= 160 AND regexp_matches(x, '[^\x20\x09-\x0D]') AS counts FROM lines
+  SELECT doc_id, source, n, x, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
 ), bad AS (
-  SELECT trim(x) AS line FROM kinds WHERE counts GROUP BY 1 HAVING count(DISTINCT coalesce('+' || source, '-')) >= 5
-), marked AS (
-  SELECT k.*, k.counts AND b.line IS NOT NULL AS gone, length(regexp_replace(k.x, '[\x20\x09-\x0D]+', '', 'g')) AS size FROM kinds k LEFT JOIN bad b ON trim(k.x) = b.line
+  SELECT line FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= 5
 ), each AS (
-  SELECT doc_id, count_if(gone) AS gone, coalesce(sum(size) FILTER (NOT gone), 0) < 0.5 * sum(size) AS most,
-    coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (NOT gone), '') AS rest
-  FROM marked GROUP BY doc_id
+  SELECT doc_id, count_if(b.line IS NOT NULL) AS gone, count_if(b.line IS NULL AND l.line <> '') AS own, coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (b.line IS NULL), '') AS rest
+  FROM lines l LEFT JOIN bad b ON l.line = b.line GROUP BY doc_id
+), told AS (
+  SELECT d.doc_id, coalesce(gone > 0 AND own = 0, false) AS copied, CASE WHEN gone > 0 AND own > 0 THEN gone ELSE 0 END AS removed, CASE WHEN gone > 0 AND own > 0 THEN rest ELSE text END AS clean
+  FROM documents d LEFT JOIN each e ON d.doc_id = e.doc_id
 )
-SELECT d.doc_id, CASE WHEN e.gone > 0 AND NOT e.most THEN e.gone ELSE 0 END::BIGINT AS n_removed, coalesce(e.gone > 0 AND e.most, false) AS copied,
-  length(CASE WHEN e.gone > 0 AND NOT e.most THEN e.rest ELSE d.text END)::BIGINT AS n_chars,
-  sha256(CASE WHEN e.gone > 0 AND NOT e.most THEN e.rest ELSE d.text END) AS clean_sha256
-FROM documents d LEFT JOIN each e ON d.doc_id = e.doc_id
+SELECT doc_id, removed::BIGINT AS n_removed, copied, length(clean)::BIGINT AS n_chars, sha256(clean) AS clean_sha256 FROM told
 """
 
 
