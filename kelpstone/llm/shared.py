@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import fresh, materialize, scope, shared_dir
+
 #: White space in the contracts of these operators: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 
-__all__ = ["BLANKS", "NOT_SPACE", "SPACE", "StorageLevel", "fresh", "let", "materialize", "shared_dir", "table"]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="kelpstone-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def fresh(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back: later readers start there, also after losing executors."""
-    spark = df.sparkSession
-    path = fresh(spark, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["BLANKS", "NOT_SPACE", "SPACE", "StorageLevel", "fresh", "let", "materialize", "scope", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
