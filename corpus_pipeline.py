@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kelpstone.llm import linededup, mixing, neardup, packing, quality
-from kelpstone.llm.shared import materialize, table
+from kelpstone.llm.shared import fresh, scope, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,7 +26,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that many sites share."""
-    return linededup.clean(docs, linededup.ANY_LENGTH)
+    return linededup.clean(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,5 +59,8 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        written = fresh(spark, f"pipeline-{name}")
+        with scope(spark):  # what a stage wrote on its way goes when its result is written
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(written)
+        docs = spark.read.parquet(written)
     return docs
