@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -121,17 +120,25 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _licence_sql() -> str:
-    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    templates = ", ".join(f"('{t.label}', {quoted(t.words)}, {licences.needed(t, 0.8)})" for t in licences.TEMPLATES)
+    """The rules stated apart from the operator; only the notices, their words and the base phrases are its."""
+    quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+    templates = ", ".join(f"('{t.label}', '{t.text}', {quoted(t.needs.split())}, {quoted(t.without.split())})" for t in licences.TEMPLATES)
     phrases = ", ".join(f"('{label}', {quoted(p)})" for p, label in licences.PHRASES.items())
+    word, low = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS low FROM documents),
-w AS (SELECT doc_id, regexp_extract_all(low, '{licences.WORD}') AS words FROM d),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(x, '{licences.WORD}')) AS words FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS x FROM d)),
-t(label, words, need) AS (VALUES {templates}),
+WITH d AS (SELECT doc_id, {low.format("coalesce(text, '')")} AS low FROM documents),
+w AS (SELECT doc_id, low, regexp_extract_all(low, '{word}') AS words FROM d),
+t AS (SELECT row_number() OVER () AS id, label, needs, without, all_words, len(all_words) AS n, list_distinct(all_words) AS words, ceil(0.8 * len(list_distinct(all_words)) - 1e-9) AS least
+  FROM (SELECT label, needs, without, regexp_extract_all({low.format("notice")}, '{word}') AS all_words FROM (VALUES {templates}) v(label, notice, needs, without))),
+pairs AS (SELECT doc_id, low, w.words, id FROM w, t WHERE list_has_all(w.words, t.needs) AND len(list_intersect(w.words, t.words)) >= least),
+blocks AS (
+  SELECT doc_id, id, p.words[i + 1 : i + ceil(1.25 * n)::INT + greatest(1, n // 4) - 1] AS block FROM pairs p JOIN t USING (id), unnest(range(0, len(p.words), greatest(1, n // 4))) AS r(i)
+  UNION ALL
+  SELECT doc_id, id, block FROM (SELECT doc_id, id, n, regexp_extract_all(unnest(string_split(low, chr(10))), '{word}') AS block FROM pairs JOIN t USING (id)) WHERE len(block) <= 2 * n
+),
 met AS (
-  SELECT doc_id, label, len(list_intersect(lines.words, t.words)) / len(t.words) AS share FROM lines, t
-  WHERE len(list_intersect(lines.words, t.words)) >= need
+  SELECT doc_id, label, len(list_intersect(block, t.words)) / len(t.words) AS share FROM blocks JOIN t USING (id)
+  WHERE len(list_intersect(block, t.words)) >= least AND list_has_all(block, needs) AND NOT list_has_any(block, without)
 ),
 method AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS most FROM met GROUP BY doc_id),
 p(label, phrase) AS (VALUES {phrases}),

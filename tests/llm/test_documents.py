@@ -305,26 +305,89 @@ def test_token_counts(docs, spark):
     assert all(r[1] == r[4] and r[2] == pytest.approx(r[4]) for r in sums)
 
 
+def licence_labels(text):
+    """Brute force: every window and line against every template."""
+    low = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    find = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)
+    w, labels = find(low), set()
+    for t in licences.TEMPLATES:
+        template = find(t.text.lower())
+        n, words_of = len(template), set(template)
+        step = max(1, n // 4)
+        blocks = [w[i : i + -(-5 * n // 4) + step - 1] for i in range(0, len(w), step)] + [x for x in map(find, low.split("\n")) if len(x) <= 2 * n]
+        if any(5 * len(words_of & set(b)) >= 4 * len(words_of) and set(t.needs.split()) <= set(b) and not set(t.without.split()) & set(b) for b in blocks):
+            labels.add(t.label)
+    return labels
+
+
 def test_licences(docs):
     out = licences.scan(docs).collect()
     assert len(out) == docs.count()
     texts = defaultdict(list)
     for r in docs.collect():
         texts[r.doc_id].append(r.text or "")
+    base_phrases = {"cc-by": ("cc", "by"), "gpl": ("general", "public", "license"), "reserved": ("all", "rights", "reserved")}
     for r in out:
         fits = []
         for text in texts[r.doc_id]:
-            lower = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-            w = re.findall(licences.WORD, lower)
-            places = [(i, label) for p, label in licences.PHRASES.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
-            met = {t.label for line in lower.split("\n") for t in licences.TEMPLATES if len(set(t.words) & set(re.findall(licences.WORD, line))) >= licences.needed(t, 0.8)}
+            w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+            places = [(i, label) for label, p in base_phrases.items() for i in range(len(w)) if tuple(w[i : i + len(p)]) == p]
             base = {label for _, label in places}
             at = [i for i, _ in places]
-            fits.append((len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | met))))
+            fits.append((len(w), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | licence_labels(text)))))
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) in fits
         assert 0 <= r.score <= 1
 
 
+#: Notices as they are met with, and all their labels, by hand.
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "apache-2.0",
+    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.': "apache-2.0",
+    "Licensed under the Apache License, Version 1.1.": "",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0",
+    "This work is licensed under the GNU General Public License, version 2.": "gpl,gpl-2.0",
+    "General Public License, version 2": "gpl",  # too little of a notice
+    "This work is licensed under the GNU Affero General Public License version 3.": "agpl-3.0,gpl",
+    "This library is licensed under the GNU Lesser General Public License.": "gpl,lgpl",
+    "Licensed under CC BY 4.0.": "cc-by,cc-by-4.0",
+    "Licensed under CC BY 3.0.": "cc-by,cc-by-3.0",
+    "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc",
+    "Licensed under CC BY-SA 4.0.": "cc-by,cc-by-sa",
+    "Licensed under CC BY-NC-SA 4.0.": "cc-by,cc-by-nc-sa",
+    "Licensed under CC BY-ND 4.0.": "cc-by,cc-by-nd",
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": "cc-by-4.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa",
+    "Released under the BSD License.": "bsd",
+    "Released under the BSD 3-Clause License.": "bsd-3-clause",
+    "Released under the MIT License.": "mit",
+    "Licensed under the Artistic License 2.0.": "artistic-2.0",
+    "Licensed under the Mozilla Public License Version 2.0": "mpl-2.0",
+    "Licensed under the Mozilla Public License Version 1.1": "",
+    "Released under the MIT License or, at your choice, licensed under the Apache License, Version 2.0.": "apache-2.0,mit",
+    "All rights reserved.": "reserved",
+    "Nobody under the sun has a license for that, version 2.0 or not.": "",
+    "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction": "mit",
+    "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM OR DAMAGES": "",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by\nthe Free Software Foundation": "gpl",
+    "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation": "gpl,lgpl",
+    "GNU GENERAL PUBLIC LICENSE\n    Version 3, 29 June 2007": "gpl,gpl-3.0",
+}
+
+
+def test_licence_notices_get_just_their_own_labels(spark):
+    rnd = random.Random(20)
+    filler = lambda: " ".join(rnd.choice(VOCABULARY) for _ in range(40))
+    rows, want = [], {}
+    for notice, labels in NOTICES.items():
+        for form in (notice, f"{filler()}\n{notice}\n{filler()}", f"{filler()} {notice} {filler()}", textwrap.fill(f"{filler()} {notice} {filler()}", 30)):
+            want[len(rows)] = labels
+            rows.append((len(rows), form))
+    out = {r.doc_id: r.labels for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {rows[i][1]: x for i, x in out.items()} == {rows[i][1]: x for i, x in want.items()}
+
+
 def test_licences_are_found_however_they_are_wrapped(spark):
     rnd = random.Random(12)
     rows, labels = [], {}
