@@ -3,15 +3,17 @@
 A page is read into elements, leniently: end tags may be missing, quotes and
 comments may be left open. Elements that by their name, role or class are page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-reader comments) are dropped. The text is that of the page's articles, else of
-its main element, else of its body.
+reader comments) are dropped, unless they hold the page's main text: layout
+wrappers have such names, too, and some sites put a page into one form. The
+text is that of the page's articles, else of its main element, else of its body.
 
 Site templates: each element's subtree is hashed (names, classes, texts, in
-order), hashes are counted by host in Spark, one count for each page, and
-subtrees on at least ``min_pages`` pages and ``min_share`` of the host's
-pages are deleted. Inside an article, headings, paragraphs and other prose
-elements are never deleted so, as quoted passages recur, too; nor is a subtree
-with most of the page's text, which is an article published twice.
+order), hashes are counted by host in Spark, one count for each different
+page, and subtrees on enough pages (``needed_pages``) are deleted wherever they
+occur. Pages with the same main text count once, so that a page published many
+times is none. Inside an article, headings, paragraphs and other prose elements
+are never deleted so, as quoted passages recur, too; nor is a subtree that is
+most of the text on most of its pages, which is an article published twice.
 
 Style: Python over Arrow batches for reading pages; the counting is a
 DataFrame aggregation. Pages are read twice and never shuffled, unless there
@@ -20,13 +22,14 @@ are more than ``BROADCAST_HASHES`` template hashes.
 Defined results
 ---------------
 null, empty or unreadable html: an empty text. A null url belongs to the host
-"". Repeated ids and rows: each row is extracted by itself, and each counts as
-a page of its host. Extra columns are dropped. Empty tables give an empty
-result. Long pages: time and memory are linear in the page.
+"". Repeated ids and rows: each row is extracted by itself; equal pages count
+once for their host's templates. Extra columns are dropped. Empty tables give
+an empty result. Long pages: time and memory are linear in the page.
 """
 
 from __future__ import annotations
 
+import heapq
 import html as entities
 import re
 from collections import Counter
@@ -71,41 +74,74 @@ MARKS = frozenset(
     " paywall pagination pager toolbar widget widgets skip copyright disclaimer".split()
 )
 ROOTS = frozenset(("html", "body", "article", "main"))
+#: Marks of what readers and other pages say, and of offers; such an element is hardly ever a layout wrapper.
+OTHERS_SAY = frozenset(
+    "comment comments reply replies disqus respond related recommended recommendations newsletter subscribe subscription signup cookie cookies consent gdpr"
+    " advert adverts advertisement sponsor sponsored sponsors promo promotion promoted paywall login popup modal".split()
+)
+#: A class name with one of these words says something of the layout (has-sidebar, ad-free, comments-open), not what the element is.
+MODIFIERS = frozenset("has no with without free open closed enabled disabled".split())
+#: What may stand in a head; anything else ends it.
+HEAD = frozenset("title meta link base basefont bgsound script style noscript template".split())
+#: Dropped by name, but a wrapper if the page's main text is inside.
+WRAPPERS = frozenset("form fieldset header".split())
+#: Inline elements within these are prose, whatever their class.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption caption summary address".split())
 #: Words that mark an article as one beside the page's own.
 OTHER_ARTICLES = frozenset("comment comments reply replies related recommended teaser sponsored promo".split())
 
 _TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/]")
 _QUOTED, _QUOTE = re.compile(r"""\"[^"]*\"|'[^']*'"""), re.compile("[\"']")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none")
+_MAIN = re.compile(r"""\brole\s*=\s*["']?main\b""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: Bounds of what is held as a template, and of the list that is broadcast (8 bytes each).
-MIN_PAGES, MIN_SHARE, BROADCAST_HASHES = 5, 0.1, 500_000
+#: A template is on so many different pages of its host at least; on a larger host on this share of its pages, or, where that is less, on their number's square root.
+MIN_PAGES, MIN_SHARE = 5, 0.1
+#: Template hashes up to which their list (8 bytes each) is broadcast.
+BROADCAST_HASHES = 500_000
+_KEPT, _WRAPPER, _GONE = 0, 1, 2
+
+
+def _marks(found: dict[str, str]) -> set[str]:
+    """The words of class names and id, but of those that speak of the layout."""
+    out: set[str] = set()
+    for name in (*found.get("class", "").split(), found.get("id", "")):
+        words = {w.lower() for w in _WORDS.findall(name)}
+        if words.isdisjoint(MODIFIERS):
+            out |= words
+    return out
 
 
-def _furniture(name: str, raw: str, inside: bool) -> bool:
-    """Whether an element is dropped, by name and attributes. ``inside``: within an article."""
+def _furniture(name: str, raw: str, inside: bool, running: bool) -> tuple[int, bool]:
+    """Whether an element is kept, furniture unless it turns out a wrapper of the main text, or gone; and whether it holds what others say.
+
+    ``inside``: within an article. ``running``: within a paragraph or the like.
+    """
     if name in DROPPED and not (name == "header" and inside):
-        return True
+        return (_WRAPPER if name in WRAPPERS else _GONE), False
     if not raw or name in ROOTS - {"article"}:
-        return False
+        return _KEPT, False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(raw)}
-    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", "").lower()):
-        return True
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "").lower()):
+        return _GONE, False
     if found.get("role", "").lower() in ROLES:
-        return True
-    if name in HEADINGS:
-        return False
-    marked = {w.lower() for w in _WORDS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        return _WRAPPER, False
+    if name in HEADINGS or running and name not in BLOCKS:
+        return _KEPT, False
+    marked = _marks(found)
     if inside:  # an article's own header holds its title
         marked.discard("header")
-    return not (OTHER_ARTICLES if name == "article" else MARKS).isdisjoint(marked)
+    if (OTHER_ARTICLES if name == "article" else MARKS).isdisjoint(marked):
+        return _KEPT, False
+    return _WRAPPER, not OTHERS_SAY.isdisjoint(marked)
 
 
 class Page:
     """A page's elements and texts in order. Elements are numbered as they open."""
 
     def __init__(self, source: str):
-        self.names, self.parents, self.dropped, self.kinds, self.articles = ["#"], [-1], [False], [""], [-1]
+        self.names, self.parents, self.kinds = ["#"], [-1], [""]
         self.items: list[tuple[int, str | None]] = []  # (element, text), or (element, None) where a block begins or ends
         stack, at, lone, opened = [0], 0, set(), Counter()
 
@@ -124,6 +160,8 @@ class Page:
 
         def text(to: int) -> None:
             if to > at:
+                if self.names[stack[-1]] == "head" and not source[at:to].isspace():
+                    close(len(stack) - 1)
                 self.items.append((stack[-1], source[at:to]))
 
         def close(depth: int) -> None:
@@ -157,6 +195,8 @@ class Page:
             raw = source[m.end() : end]
             if name == "br":
                 self.items.append((stack[-1], " "))
+            if opened["head"] > 0 and name not in HEAD and (name == "body" or self.names[stack[-1]] == "head"):
+                close(next(d for d, e in enumerate(stack) if self.names[e] == "head"))
             if name in BLOCKS:
                 shut, within = CLOSES.get(name, ({"p"}, ROOTS | {"div", "section", "li", "td", "th", "blockquote", "button", "aside"}))
                 for depth in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in shut) else ():
@@ -170,12 +210,7 @@ class Page:
             me = len(self.names)
             self.names.append(name)
             self.parents.append(parent)
-            inside = self.articles[parent] >= 0
-            drop = self.dropped[parent] or _furniture(name, raw, inside)
-            self.dropped.append(drop)
             self.kinds.append(f"{name} {raw.strip()}" if raw.strip() else name)
-            # The outermost article around an element; comments are articles within articles.
-            self.articles.append(self.articles[parent] if inside else me if name == "article" and not drop else -1)
             if name in BLOCKS:
                 self.items.append((parent, None))
             if name in VOID or raw.endswith("/") and name not in BLOCKS and name not in RAW:
@@ -187,13 +222,101 @@ class Page:
                 at = end.start() if end else len(source)
         text(len(source))
         close(1)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        """Finds what is furniture: ``dropped``, and the outermost article around each element (``articles``)."""
+        n = len(self.names)
+        state, says, held, running, linked, main = [_KEPT] * n, [False] * n, [False] * n, [False] * n, [False] * n, [False] * n
+        for me in range(1, n):
+            up, name, raw = self.parents[me], self.names[me], self.kinds[me][len(self.names[me]) + 1 :]
+            running[me] = name in RUNNING or running[up] and name not in BLOCKS
+            linked[me] = linked[up] or name == "a"
+            state[me], says[me] = _furniture(name, raw, held[up], running[up])
+            if state[up] == _GONE:
+                state[me] = _GONE
+            main[me] = state[me] != _GONE and (name == "main" or bool(raw) and _MAIN.search(raw) is not None)
+            held[me] = held[up] or name == "article" and state[me] == _KEPT
+        if _WRAPPER in state:
+            self._rescue(state, says, linked, main)
+        self.dropped, self.articles = [False] * n, [-1] * n
+        for me in range(1, n):
+            up = self.parents[me]
+            self.dropped[me] = self.dropped[up] or state[me] != _KEPT
+            # Comments are articles within articles.
+            self.articles[me] = self.articles[up] if self.articles[up] >= 0 else me if self.names[me] == "article" and not self.dropped[me] else -1
+        self.mains = [i for i in range(1, n) if main[i] and not self.dropped[i]]
+
+    def _rescue(self, state: list[int], says: list[bool], linked: list[bool], main: list[bool]) -> None:
+        """Keeps marked elements that hold the main text. Text in links has no weight, so that menus have none."""
+        n = len(self.names)
+        weight, strong, title = [0] * n, [False] * n, [False] * n  # below: of the whole subtree
+        for me, words in self.items:
+            if words is not None and state[me] != _GONE and not linked[me]:
+                weight[me] += len(words) - words.count(" ") - words.count("\n")
+        own = list(weight)
+        for me in range(n - 1, 0, -1):
+            if state[me] != _GONE:
+                strong[me] = strong[me] or main[me] or self.names[me] == "article" and state[me] == _KEPT
+                title[me] = title[me] or self.names[me] == "h1"
+                up = self.parents[me]
+                weight[up], strong[up], title[up] = weight[up] + weight[me], strong[up] or strong[me], title[up] or title[me]
+        last = list(range(n))  # the subtree of an element is all from it to its last one
+        for me in range(n - 1, 0, -1):
+            last[self.parents[me]] = max(last[self.parents[me]], last[me])
+        outer: list[tuple[int, int]] = []  # the outermost marked elements, the heaviest first
+        free, strong_free, title_free, at, end = own[0], False, False, 1, n - 1
+        while True:
+            while at <= end:  # what is newly free; every element is walked once
+                if state[at] == _WRAPPER:
+                    heapq.heappush(outer, (-weight[at], at))
+                if state[at] != _KEPT:
+                    at = last[at] + 1
+                    continue
+                free += own[at]
+                strong_free = strong_free or main[at] or self.names[at] == "article"
+                title_free = title_free or self.names[at] == "h1"
+                at += 1
+            if not outer:
+                return
+            best = heapq.heappop(outer)[1]
+            if weight[best] <= free or not self._is_wrapper(weight[best], free, strong[best], title[best], says[best], strong_free, title_free):
+                return
+            state[best], at, end = _KEPT, best, last[best]
+
+    @staticmethod
+    def _is_wrapper(weight: int, free: int, strong: bool, title: bool, says: bool, strong_free: bool, title_free: bool) -> bool:
+        """Whether the heaviest marked element, heavier than all free text, holds the main text. strong: an article or main element; title: an h1."""
+        if says:
+            return (strong or title) and not strong_free and not title_free
+        if strong != strong_free:
+            return strong or weight > 3 * free
+        if not strong and title != title_free:
+            return title
+        return weight > 3 * free
 
     def root(self) -> set[int] | None:
-        """The elements whose text counts: the outermost articles, else the first main element, else (None) all."""
+        """The elements whose text counts: the outermost articles, else the first main element, else (None) all. Articles beside a longer main element are others."""
         found = {a for a, d in zip(self.articles, self.dropped, strict=True) if a >= 0 and not d}
+        if not self.mains:
+            return found or None
+        main = self.mains[0]
         if not found:
-            found = set([i for i, n in enumerate(self.names) if not self.dropped[i] and (n == "main" or re.search(r"""\brole\s*=\s*["']?main\b""", self.kinds[i]))][:1])
-        return found or None
+            return {main}
+        around = [False] * len(self.names)
+        for me in range(main, len(self.names)):
+            around[me] = me == main or around[self.parents[me]]
+        within = {a for a in found if around[a]}
+        if within or any(a < main and self.articles[main] == a for a in found):
+            return within or found
+        size = {main: 0, **dict.fromkeys(found, 0)}
+        for me, words in self.items:
+            if words is not None and not self.dropped[me]:
+                if around[me]:
+                    size[main] += len(words)
+                elif self.articles[me] >= 0:
+                    size[self.articles[me]] += len(words)
+        return {main} if size[main] >= sum(v for k, v in size.items() if k != main) else found
 
     def inside(self) -> list[bool]:
         """For each element, whether its text counts."""
@@ -201,11 +324,12 @@ class Page:
         out = [roots is None]
         for me in range(1, len(self.names)):
             out.append(not self.dropped[me] and (roots is None or me in roots or out[self.parents[me]]))
-        if self.articles and any(n == "header" for n in self.names):  # of an article's header, only its headings
+        if any(n == "header" for n in self.names):  # of an article's header, only its headings
             within = [False] * len(self.names)
             for me in range(1, len(self.names)):
                 up = self.parents[me]
-                within[me] = (self.names[me] == "header" or within[up]) and self.names[me] not in HEADINGS and not (up >= 0 and self.names[up] in HEADINGS)
+                opens = self.names[me] == "header" and self.articles[me] >= 0
+                within[me] = (opens or within[up]) and self.names[me] not in HEADINGS and self.names[up] not in HEADINGS
                 out[me] = out[me] and not within[me]
         return out
 
@@ -229,23 +353,26 @@ class Page:
             sizes[up] += sizes[me]
         return hashes, sizes
 
-    def candidates(self) -> list[tuple[int, int]]:
-        """(element, hash) of elements that may be a site's template."""
-        keep = self.inside()
-        if not any(keep[1:]):
-            return []
+    def candidates(self, keep: list[bool] | None = None) -> tuple[list[tuple[int, int, bool]], int]:
+        """(element, hash, whether it is most of the page's text) of elements that may be a site's template, and a hash of the page's text."""
+        keep = keep or self.inside()
         articles = self.articles
         able = [i for i in range(1, len(self.names)) if keep[i] and self.names[i] in BLOCKS and self.names[i] not in ROOTS and not (articles[i] >= 0 and self.names[i] in PROSE)]
         if not able:
-            return []
+            return [], 0
         hashes, sizes = self.subtrees()
-        whole = sum(sizes[i] for i in range(1, len(self.names)) if keep[i] and not keep[self.parents[i]]) or sizes[0]
-        return [(i, hashes[i]) for i in able if 0 < sizes[i] <= whole / 2]
+        whole, kept = xxhash.xxh3_64(), 0
+        for me, words in self.items:
+            if words is not None and keep[me] and (short := " ".join(words.split())):
+                whole.update(short)
+                kept += len(short)
+        digest = whole.intdigest()
+        return [(i, hashes[i], 2 * sizes[i] > kept) for i in able if sizes[i]], digest - (1 << 64) if digest >= 1 << 63 else digest
 
     def main_text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         keep = self.inside()
         if templates:
-            gone = {i for i, h in self.candidates() if h in templates}
+            gone = {i for i, h, _ in self.candidates(keep)[0] if h in templates}
             for me in range(1, len(self.names)):
                 if me in gone or self.parents[me] in gone:
                     gone.add(me)
@@ -267,25 +394,31 @@ def host(url: str = "url") -> Column:
 
 
 def template_counts(pages: DataFrame) -> DataFrame:
-    """(host, subtree, pages): on how many pages of its host each candidate subtree is; subtree null counts the host's pages."""
+    """(host, subtree, pages, most_of): on how many different pages of its host each candidate subtree is, and on how many it is most of the text."""
 
     def hashed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hosts, hashes = [], []
+            out: list[tuple] = []
             for site, source in zip(batch["__host"], batch["html"], strict=True):
-                found = {h for _, h in Page(source or "").candidates()}
-                hosts += [site] * (1 + len(found))
-                hashes += [None, *found]
-            yield pd.DataFrame({"host": pd.Series(hosts, dtype=str), "subtree": pd.array(hashes, dtype="Int64")})
+                found, page = Page(source or "").candidates()
+                out += [(site, h, page, most) for h, most in {h: most for _, h, most in found}.items()]
+            yield pd.DataFrame(out, columns=["host", "subtree", "page", "most"])
+
+    each = pages.select(host(), "html").mapInPandas(hashed, "host string, subtree long, page long, most boolean")
+    once = each.groupBy("host", "subtree", "page").agg(F.max("most").alias("most"))
+    return once.groupBy("host", "subtree").agg(F.count("*").alias("pages"), F.count_if("most").alias("most_of"))
+
 
-    return pages.select(host(), "html").mapInPandas(hashed, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("pages"))
+def needed_pages(of_host: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> Column:
+    """On how many of its host's pages a template must be."""
+    return F.greatest(F.lit(float(min_pages)), F.least(of_host * min_share, F.sqrt(of_host)))
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, subtree) of site templates."""
-    counts = materialize(template_counts(pages).where((F.col("pages") >= min_pages) | F.col("subtree").isNull()), "subtree-counts")
-    sizes = counts.where(F.col("subtree").isNull()).select("host", F.col("pages").alias("all"))
-    found = counts.where(F.col("subtree").isNotNull()).join(sizes, "host").where(F.col("pages") >= F.col("all") * min_share)
+    counts = materialize(template_counts(pages).where((F.col("pages") >= min_pages) & (2 * F.col("most_of") <= F.col("pages"))), "subtree-counts")
+    sizes = pages.select(host()).groupBy(F.col("__host").alias("host")).agg(F.count("*").alias("all"))
+    found = counts.join(sizes, "host").where(F.col("pages") >= needed_pages(F.col("all"), min_pages, min_share))
     return found.select("host", "subtree")
 
 

@@ -1,6 +1,8 @@
 """Operators on pages."""
 
 import hashlib
+import random
+import time
 from collections import defaultdict
 
 import pytest
@@ -28,11 +30,112 @@ def test_main_text(source):
     assert htmltext.Page(source).main_text() == CASES[source]
 
 
+ARTICLE = "<article><h1>T</h1><p>One.</p><p>Two.</p></article>"
+BODY = "<h1>T</h1><p>One.</p><p>Two.</p>"
+WRAPPED = [
+    f'<div class="layout has-sidebar">{ARTICLE}<div class="sidebar"><p>Aside text that is much longer than the article itself, of all things.</p></div></div>',
+    f'<div class="content-sidebar-wrap"><main>{BODY}</main><div class="sidebar"><p>aside</p></div></div>',
+    f'<div id="page" class="no-sidebar">{ARTICLE}</div>',
+    f'<div class="post with-comments">{BODY}<div id="comments"><p>A comment, and a very long one, longer than all the rest of the page together, it goes on.</p></div></div>',
+    f'<div class="ad-free-content">{BODY}</div>',
+    f'<div class="header-image-post">{ARTICLE}</div>',
+    f'<div class="sidebar-left">{ARTICLE}</div>',
+    f'<body class="comments-open menu-enabled">{ARTICLE}<section class="comments"><article><p>A comment that is longer than the whole of the article above it.</p></article></section>',
+    f'<form id="aspnetForm"><div class="header"><p>Site</p></div>{ARTICLE}<input name=q></form>',
+    f'<form action="/"><div>{BODY}</div></form>',
+    f"<html><head><title>x</title><body>{ARTICLE}",
+    f"<head><title>x</title><meta charset=utf-8>{ARTICLE}",
+    f'<div class="widget"><article><p>teaser</p></article></div><div id="content">{BODY}<p></p></div>',
+    f'<main>{BODY}</main><section><article><p>x</p></article></section>',
+    f'<h1>Site</h1><div class="layout-with-sidebar overlay">{ARTICLE}</div>',
+    f'<div class="has-banner"><div class="banner"><p>Big sale, everything must go, and it must go today, not tomorrow.</p></div>{ARTICLE}</div>',
+]
+
+
+@pytest.mark.parametrize("source", WRAPPED)
+def test_layout_wrappers_keep_the_article(source):
+    assert htmltext.Page(source).main_text() == "T\nOne.\nTwo."
+
+
+def test_inline_elements_in_prose_stay_whatever_their_class():
+    assert htmltext.Page('<p>Para <a class="share-link">linked words</a> <span class="ad">here</span> end</p>').main_text() == "Para linked words here end"
+    assert htmltext.Page('<article><p>Text</p><a class="share-link">Share</a></article>').main_text() == "Text"
+
+
+def made_page(rnd):
+    """A page of random layout, and its main text."""
+    words = lambda low, high: " ".join(rnd.choice("lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod".split()) + str(rnd.randint(0, 99)) for _ in range(rnd.randint(low, high)))
+    wraps = ["content", "layout has-sidebar", "no-sidebar", "content-sidebar-wrap", "page with-comments", "ad-free", "inner", "row", "post-body", "col-8", "header-image-post", "comments-closed"]
+    furniture = [
+        lambda: f'<nav><ul><li><a href="/">{words(1, 3)}</a></li></ul></nav>', lambda: f'<div class="{rnd.choice(["ad", "ad-box", "sponsored", "promo"])}"><p>{words(2, 9)}</p></div>',
+        lambda: f'<aside>{words(2, 20)}</aside>', lambda: f'<div class="{rnd.choice(["sidebar", "site-sidebar", "widget", "rail"])}"><p>{words(2, 20)}</p></div>', lambda: f"<script>var x = '<p>{words(1, 3)}</p>';</script>",
+        lambda: f"<style>p {{ color: {words(1, 1)} }}</style>", lambda: f"<!-- <p>{words(1, 3)}</p> -->", lambda: f'<form><label>{words(1, 2)}</label><input><button>{words(1, 2)}</button></form>',
+        lambda: f'<div class="{rnd.choice(["share", "social-links", "newsletter-signup", "cookie-notice", "breadcrumbs"])}">{words(1, 6)}</div>', lambda: f'<div hidden><p>{words(1, 9)}</p></div>',
+    ]
+    some = lambda share: "".join(f() for f in furniture if rnd.random() < share)
+    blocks, markup = [], []
+    for k in range(rnd.randint(4, 12)):
+        x, y = words(8, 40), words(1, 6)
+        kind = "h1" if k == 0 else rnd.choice(["p", "p", "p", "h2", "link", "list", "quote", "bold", "break", "entity", "open"])
+        if kind in ("p", "h1", "h2"):
+            blocks.append(x)
+            markup.append(f"<{kind}>{x}</{kind}>")
+        elif kind == "open":
+            blocks.append(x)
+            markup.append(f"<p>{x}")
+        elif kind == "link":
+            blocks.append(f"{x} {y} {x}")
+            markup.append(f'<p class="text">{x} <a class="share-link" href="?a=1&amp;b=2">{y}</a>\n {x}</p>')
+        elif kind == "list":
+            blocks += [x, y]
+            markup.append(f"<ul><li>{x}<li>{y}</ul>")
+        elif kind == "quote":
+            blocks.append(x)
+            markup.append(f"<blockquote><p>{x}</p></blockquote>")
+        elif kind == "bold":
+            blocks.append(f"{x} {y}")
+            markup.append(f"<p>{x} <b>{y}</b></p>")
+        elif kind == "break":
+            blocks.append(f"{x} {y}")
+            markup.append(f"<p>{x}<br>{y}</p>")
+        else:
+            blocks.append(f"{x} & <{y}> é")
+            markup.append(f"<p>{x} &amp; &lt;{y}&gt; &eacute;</p>")
+        if rnd.random() < 0.2:
+            markup.append(some(0.2))
+    root = rnd.choice(["article", "main", "div", "section"])
+    comments = "".join(f"<{rnd.choice(['article', 'div'])}><p>{words(3, 30)}</p></{'div' if 0 else 'article'}>" for _ in range(rnd.randint(0, 3)))
+    page = f"<{root}>" + "".join(markup) + f"</{root}>"
+    if rnd.random() < 0.5:
+        page += f'<section class="{rnd.choice(["comments", "comment-list", "replies"])}" id="comments">{comments}</section>'
+    for _ in range(rnd.randint(0, 3)):
+        page = f'<div class="{rnd.choice(wraps)}">{some(0.15)}{page}{some(0.15)}</div>'
+    if rnd.random() < 0.2:
+        page = f'<form id="main-form">{page}</form>'
+    head = f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><meta charset=utf-8>{'</head>' if rnd.random() < 0.8 else ''}"
+    return f'{head}<body class="{rnd.choice(["", "has-sidebar", "comments-open", "no-js"])}"><header><a>{words(1, 3)}</a></header>{some(0.3)}{page}{some(0.3)}<footer><p>{words(2, 20)}</p></footer></body></html>', "\n".join(blocks)
+
+
+def test_made_pages_give_their_whole_main_text(spark):
+    rnd = random.Random(60)
+    made = [made_page(rnd) for _ in range(400)]
+    rows = [(i, f"http://host{i % 7}.example/{i}", page) for i, (page, _) in enumerate(made)]
+    out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    wrong = [i for i, (_, text) in enumerate(made) if out[i] != text]
+    assert not wrong, (len(wrong), made[wrong[0]], out[wrong[0]])
+
+
 def test_odd_pages_take_linear_time():
-    for source in ("<div>" * 20_000 + "x", '<a "' * 20_000 + "x", "<p>" * 20_000, "<b>" * 20_000 + "</i>" * 20_000, "<!--" * 20_000):
-        page = htmltext.Page(source)
+    odd = [
+        lambda n: "<div>" * n + "x", lambda n: '<a "' * n + "x", lambda n: "<p>" * n, lambda n: "<b>" * n + "</i>" * n, lambda n: "<!--" * n, lambda n: "<div class=sidebar>" * n + "<article>x y z",
+        lambda n: "<div class=ad><p>some words</p>" * n, lambda n: "<form><header>" * n + "text", lambda n: "<head>" * n + "x",
+    ]
+    for make in odd:
+        began = time.perf_counter()
+        page = htmltext.Page(make(20_000))
         page.candidates()
         page.main_text({1})
+        assert time.perf_counter() - began < 10, make(2)
 
 
 def test_templates_are_removed_by_host(spark, monkeypatch):
@@ -48,6 +151,20 @@ def test_templates_are_removed_by_host(spark, monkeypatch):
     assert htmltext.extract(pages.limit(0)).isEmpty()
 
 
+def test_templates_go_wherever_they_occur(spark):
+    """On short pages, where they are most of the text, too; not where a page was published again and again; and on large hosts, too."""
+    box = '<div class="x"><div><b>Read our</b> daily letter, it comes every day at nine</div></div>'
+    long = lambda i: f"<div class=c><p>{' '.join(f'w{i}x{k}' for k in range(30))}</p>{box}</div>"
+    rows = [(i, "http://a/", long(i)) for i in range(20)] + [(20 + i, "http://a/", f"<p>Short {i}</p>{box}") for i in range(3)]
+    rows += [(100 + i, "http://b/", f"<div class=c><p>Same article</p><p>published on and on</p>{box}</div>") for i in range(30)]
+    rows += [(1000 + i, "http://c/", f"<div><p>Page {i} has many words of its own, and more of them than any box</p>{box if i % 15 == 0 else ''}</div>") for i in range(900)]
+    out = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == " ".join(f"w{i}x{k}" for k in range(30)) for i in range(20))
+    assert all(out[20 + i] == f"Short {i}" for i in range(3))
+    assert all(out[100 + i].startswith("Same article\npublished on and on") for i in range(30))
+    assert all(out[1000 + i] == f"Page {i} has many words of its own, and more of them than any box" for i in range(900))  # 60 of 900 pages
+
+
 def test_article_paragraphs_are_never_templates(spark):
     rows = [(i, f"http://h.example/{i}", f"<article><p>Own {i}</p><p>A passage that recurs.</p><div class=x>Share box</div></article>") for i in range(9)]
     out = htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
