@@ -3,17 +3,20 @@
 Writing: each page becomes a record, by DataFrame functions and Spark's text
 writer, so any store that Spark can write to will do. A payload of at least
 ``min_revisit`` bytes that equals an earlier page's becomes a revisit record.
-Payloads over ``segment_chars`` code points are written as a record and
+Payloads over ``segment_bytes`` are cut once and written as a record and
 continuation records, as the format provides. Archives are gzip files, which
 Spark reads whole and in order, one task each.
 
-Reading: a task streams an archive's lines through a small state machine and
+Reading: a task streams an archive's bytes through a small state machine and
 emits rows (record_id, chunk_no, ...) of at most ``chunk_bytes`` bytes, each
 with the running SHA-256 of the payload so far. Neither a record nor an
-archive is ever held as a whole: a line is at most a segment in archives that
-this module wrote.
+archive is ever held as a whole. ``read`` gets the bytes from Spark's text
+reader, line by line, which works on any store; a line is at most a segment in
+archives that this module wrote. ``read_files`` is for archives of others,
+whose records may be one line: it opens the files in the tasks and reads them
+``READ_BYTES`` at a time.
 
-Style: the writer is DataFrame functions; the reader Arrow batches, since
+Style: the writer is DataFrame functions; the readers Arrow batches, since
 carrying a digest along a stream has no SQL form.
 
 Defined results
@@ -23,7 +26,9 @@ responses. Equal payloads: the row with the smallest page_id is the response;
 rows that share that page_id and payload are responses, too; a null page_id
 comes after all others. Repeated rows give a record each. Null urls are
 written as an empty target. Extra columns are dropped. An empty table gives
-archives without records and an empty table.
+archives without records and an empty table. An archive that ends inside a
+record gives that record's chunks up to there, not complete; header lines of
+more than ``HEADER_BYTES`` are cut.
 
 Scale
 -----
@@ -35,6 +40,7 @@ row per digest on the right, so that the left can be split where one is frequent
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -42,11 +48,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, materialize
+from .shared import fresh, let, materialize
 
 MIN_REVISIT = 100
-SEGMENT_CHARS = 1 << 20
+SEGMENT_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 18
+#: Bytes that are read at a time, and bytes of a header line that are kept.
+READ_BYTES, HEADER_BYTES = 1 << 18, 1 << 16
+#: Bytes of chunks that a task hands over at a time.
+BATCH_BYTES = 1 << 25
 #: Fixed values of the format: its version line, and the profile of revisits by equal payload.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -76,25 +86,30 @@ def _name(page_id: Column) -> Column:
     return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")))
 
 
-def records(classified: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """One text row for each record or continuation record, without the line end that the writer adds."""
-    n = F.greatest(F.ceil(F.length("html") / segment_chars), F.lit(1)).cast("int")
-    parts = classified.withColumn("__parts", F.when(F.col("revisit"), 1).otherwise(n)).withColumn("__part", F.explode(F.sequence(F.lit(1), F.col("__parts"))))
-    first, last, many = F.col("__part") == 1, F.col("__part") == F.col("__parts"), F.col("__parts") > 1
+def records(classified: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """One text row for each record or continuation record, without the line end that the writer adds.
+
+    A payload is cut into pieces of bytes in one go; only pieces travel on. A piece may end inside a character: it is written as it is.
+    """
+    n = F.greatest(F.ceil(F.col("payload_bytes") / segment_bytes), F.lit(1)).cast("int")
+    cut = let(F.col("html").cast("binary"), lambda data: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(data, i * segment_bytes + 1, F.lit(segment_bytes))))
+    pieces = F.when(F.col("revisit"), F.array(F.lit(b""))).otherwise(cut)
+    parts = classified.select("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "revisit", F.when(F.col("revisit"), 1).otherwise(n).alias("__parts"), F.posexplode(pieces).alias("__at", "__piece"))
+    first, last, many = F.col("__at") == 0, F.col("__at") + 1 == F.col("__parts"), F.col("__parts") > 1
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
-    whole = F.when(many, F.substring("html", (F.col("__part") - 1) * segment_chars + 1, F.lit(segment_chars))).otherwise(F.col("html"))
-    block = F.when(F.col("revisit"), head).when(first, F.concat(head, whole)).otherwise(whole)
+    block = F.when(first, F.concat(head.cast("binary"), F.col("__piece"))).otherwise(F.col("__piece")).cast("string")
+    part = (F.col("__at") + 1).cast("string")
     line = lambda key, value: F.concat(F.lit(f"{key}: "), value, F.lit(CRLF))
     kind = F.when(F.col("revisit"), "revisit").when(first, "response").otherwise("continuation")
     header = F.concat(
         F.lit(VERSION + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(_name(F.col("page_id")), F.when(first, "").otherwise(F.concat(F.lit(":"), F.col("__part").cast("string"))), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(_name(F.col("page_id")), F.when(first, "").otherwise(F.concat(F.lit(":"), part)), F.lit(">"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7F]", "%20")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
         F.when(F.col("revisit"), F.concat(line("WARC-Refers-To", F.concat(_name(F.col("refers_to")), F.lit(">"))), line("WARC-Profile", F.lit(PROFILE)))).otherwise(""),
-        F.when(many, line("WARC-Segment-Number", F.col("__part").cast("string"))).otherwise(""),
+        F.when(many, line("WARC-Segment-Number", part)).otherwise(""),
         F.when(~first, line("WARC-Segment-Origin-ID", F.concat(_name(F.col("page_id")), F.lit(">")))).otherwise(""),
         F.when(many & last, line("WARC-Segment-Total-Length", (F.octet_length(head) + F.col("payload_bytes")).cast("string"))).otherwise(""),
         F.when(first, line("Content-Type", F.lit("application/http; msgtype=response"))).otherwise(""),
@@ -103,17 +118,17 @@ def records(classified: DataFrame, segment_chars: int = SEGMENT_CHARS) -> DataFr
     return parts.withColumn("__block", block).select(F.concat(header, F.lit(CRLF), F.col("__block"), F.lit(CRLF)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment_chars: int = SEGMENT_CHARS) -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = MIN_REVISIT, segment_bytes: int = SEGMENT_BYTES) -> None:
     """Writes the pages as gzip archives into the folder ``path``."""
-    records(classify(pages, min_revisit), segment_chars).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
+    records(classify(pages, min_revisit), segment_bytes).write.option("lineSep", CRLF).option("compression", "gzip").text(path)
 
 
 class RecordStream:
-    """Turns an archive's lines, fed one after the other, into chunk rows. Holds at most a chunk and a line."""
+    """Turns an archive's bytes, fed in pieces of any size, into chunk rows. Holds at most a chunk and a header line."""
 
     def __init__(self, archive: str, chunk_bytes: int, with_data: bool):
         self.archive, self.chunk_bytes, self.with_data = archive, chunk_bytes, with_data
-        self.state, self.fields, self.http, self.origin = "between", {}, {}, None
+        self.state, self.fields, self.http, self.origin, self.line, self.need = "between", {}, {}, None, bytearray(), 0
         self.rows: list[tuple] = []
 
     def _emit(self, last: bool, complete: bool = True) -> None:
@@ -148,8 +163,8 @@ class RecordStream:
                 self._emit(True, False)
             self.origin, self.http = f, {}
             self.digest, self.held, self.chunk_no, self.offset = hashlib.sha256(), bytearray(), 0, 0
-            self.in_http = f.get("content-type", "").startswith("application/http")
-        self.state = "body"
+        http = f.get("content-type", "").startswith("application/http") and f.get("warc-type") != "continuation"
+        self.state = "http" if http else "body"
         if not self.need:
             self._finish()
 
@@ -159,28 +174,47 @@ class RecordStream:
             self._emit(True)
             self.origin = None
 
-    def feed(self, line: bytes) -> None:
+    def _field(self, line: bytes) -> tuple[str, str]:
+        key, _, value = line.decode("utf-8", "replace").partition(":")
+        return key.strip().lower(), value.strip()
+
+    def _end_of_line(self) -> None:
+        line = bytes(self.line).rstrip(b"\r\n")
+        self.line.clear()
         if self.state == "between":
             if line.startswith(b"WARC/"):
                 self.state, self.fields = "head", {}
+        elif self.state == "head" and not line:
+            self._begin()
         elif self.state == "head":
-            if line:
-                key, _, value = line.decode("utf-8", "replace").partition(":")
-                self.fields[key.strip().lower()] = value.strip()
-            else:
-                self._begin()
+            key, value = self._field(line)
+            self.fields[key] = value
+        elif line:
+            key, value = self._field(line)
+            self.http[key] = value
         else:
-            data = line if len(line) >= self.need else (line + b"\r\n")[: self.need]
-            data = data[: self.need]
-            self.need -= len(data)
-            if self.in_http:
-                self.in_http = bool(line)
-                key, _, value = line.decode("utf-8", "replace").partition(":")
-                self.http[key.strip().lower()] = value.strip()
+            self.state = "body"
+
+    def feed(self, data: bytes) -> None:
+        at = 0
+        while at < len(data):
+            counted = self.state in ("body", "http")  # bytes of the record's block
+            end = min(len(data), at + self.need) if counted else len(data)
+            if self.state == "body":
+                self._payload(data[at:end])
             else:
-                self._payload(data)
-            if not self.need:
+                newline = data.find(b"\n", at, end)
+                end = end if newline < 0 else newline + 1
+                if len(self.line) < HEADER_BYTES:
+                    self.line += data[at:end]
+            if counted:
+                self.need -= end - at
+            if self.state != "body" and data[end - 1] == 10:
+                self._end_of_line()
+            if counted and not self.need:
+                self.line.clear()
                 self._finish()
+            at = end
 
     def end(self) -> None:
         if self.origin is not None:
@@ -194,14 +228,18 @@ _CHUNKS = (
 )
 
 
+def _schema(with_data: bool) -> tuple[str, list[str]]:
+    schema = _CHUNKS + ", data binary" * with_data
+    return schema, [c.split()[0] for c in schema.split(", ")]
+
+
 def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
     """The chunk table of the archives in ``path``.
 
     payload_bytes and payload_digest are those of the payload up to and with this chunk; of a revisit record, which has no
     payload, those of the payload that it revisits. ``complete`` is false where an archive ends inside a record.
     """
-    schema = _CHUNKS + ", data binary" * with_data
-    names = [c.split()[0] for c in schema.split(", ")]
+    schema, names = _schema(with_data)
 
     def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         stream = None
@@ -213,6 +251,8 @@ def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_da
                         stream.end()
                         rows += stream.rows
                     stream = RecordStream(archive, chunk_bytes, with_data)
+                else:
+                    stream.feed(b"\r\n")
                 stream.feed(bytes(line))
             rows += stream.rows if stream else []
             if stream:
@@ -226,6 +266,46 @@ def read(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_da
     return lines.mapInPandas(parse, schema)
 
 
+def chunks_of(archive: str, pieces: Iterable[bytes], chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> Iterator[tuple]:
+    """Chunk rows of an archive that comes in pieces, as they are made."""
+    stream = RecordStream(archive, chunk_bytes, with_data)
+    for piece in pieces:
+        stream.feed(piece)
+        yield from stream.rows
+        stream.rows = []
+    stream.end()
+    yield from stream.rows
+
+
+def _pieces(path: str) -> Iterator[bytes]:
+    from pyarrow import fs
+
+    where, inner = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
+    with where.open_input_stream(inner, compression=None) as raw:
+        data = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw  # a member for each record, as archives often have, or one
+        while piece := data.read(READ_BYTES):
+            yield piece
+
+
+def read_files(spark: SparkSession, path: str, chunk_bytes: int = CHUNK_BYTES, with_data: bool = True) -> DataFrame:
+    """The same table for archives by any writer, in stores that the tasks themselves can open. A task holds a batch of rows of at most some ``BATCH_BYTES``."""
+    schema, names = _schema(with_data)
+
+    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for archive in batch["path"]:
+                for row in chunks_of(archive.rsplit("/", 1)[-1], _pieces(archive), chunk_bytes, with_data):
+                    rows.append(row)
+                    if len(rows) * chunk_bytes >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
+                        rows = []
+        yield pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64"})
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # names only: the contents aren't loaded
+    return files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("path")).mapInPandas(parse, schema)
+
+
 def round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Writes the pages, reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     spark = pages.sparkSession

@@ -1,8 +1,11 @@
 """Operators on pages."""
 
+import gzip
 import hashlib
+import itertools
 import random
 import time
+import tracemalloc
 from collections import defaultdict
 
 import pytest
@@ -181,7 +184,7 @@ PAYLOADS = [
 def test_warc_round_trip(spark, segment):
     pages = spark.createDataFrame([(*r, 1) for r in PAYLOADS], "page_id long, url string, html string, record_type int").repartition(3)
     path = warc.fresh(spark, "warc-test")
-    warc.write(pages, path, segment_chars=segment)
+    warc.write(pages, path, segment_bytes=segment)
     chunks = warc.read(spark, path, chunk_bytes=100).collect()
     held = defaultdict(bytes)
     for c in sorted(chunks, key=lambda c: c.chunk_no):
@@ -210,8 +213,54 @@ def test_warc_by_join_and_empty(spark, monkeypatch):
 
 
 def test_torn_archive_is_told():
-    stream = warc.RecordStream("a", 10, True)
-    for line in (b"WARC/1.1", b"WARC-Type: response", b"WARC-Record-ID: <x>", b"Content-Length: 50", b"", b"only this"):
-        stream.feed(line)
-    stream.end()
-    assert stream.rows and not stream.rows[-1][11]
+    rows = list(warc.chunks_of("a", [b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <x>\r\nContent-Length: 50\r\n\r\nonly this"], 10))
+    assert rows and not rows[-1][11]
+
+
+def foreign(payload: bytes, number: int) -> bytes:
+    block = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + payload
+    return b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (number, len(block), block)
+
+
+def test_archives_of_others(spark, tmp_path):
+    """Records without line ends, one gzip member each, beside a plain file; in pieces of any size."""
+    rnd = random.Random(9)
+    payloads = [bytes(rnd.randrange(256) for _ in range(n)) for n in (0, 1, 99, 5000, 70_000)] + [b"x" * 3_000_000, b"\r\n" * 500, b"WARC/1.0\r\n\r\n"]
+    with open(tmp_path / "a.warc.gz", "wb") as out:
+        for i, payload in enumerate(payloads):
+            out.write(gzip.compress(foreign(payload, i)))
+    (tmp_path / "b.warc").write_bytes(b"".join(foreign(p, 100 + i) for i, p in enumerate(payloads)))
+    held, last = defaultdict(bytes), {}
+    for c in sorted(warc.read_files(spark, str(tmp_path), chunk_bytes=1000).collect(), key=lambda c: c.chunk_no):
+        held[c.record_id] += bytes(c.data)
+        last[c.record_id] = c
+    for i, payload in enumerate(payloads):
+        for name in (f"<urn:uuid:{i}>", f"<urn:uuid:{100 + i}>"):
+            assert held[name] == payload and last[name].payload_digest == hashlib.sha256(payload).hexdigest() and last[name].last and last[name].complete
+    whole = b"".join(foreign(p, i) for i, p in enumerate(payloads[:5]))
+    want = list(warc.chunks_of("a", [whole], 100))
+    for size in (1, 7, 4096):
+        assert list(warc.chunks_of("a", [whole[at : at + size] for at in range(0, len(whole), size)], 100)) == want
+
+
+def test_a_payload_of_200_mb_is_read_in_little_memory():
+    head = foreign(b"", 1).replace(b"Content-Length: 30", b"Content-Length: %d" % (30 + (200 << 20)))[:-4]
+    assert b"Content-Length: %d" % (30 + (200 << 20)) in head
+    piece = b"y" * (1 << 20)
+    tracemalloc.start()
+    last, n = None, 0
+    for row in warc.chunks_of("a", itertools.chain([head], itertools.repeat(piece, 200), [b"\r\n\r\n"])):
+        last, n = row, n + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (200 << 20) // warc.CHUNK_BYTES and last[8] == 200 << 20 and last[10] and last[11] and peak < 8 << 20
+
+
+def test_a_long_payload_is_written_in_segments(spark):
+    text = "é日x" * 3_000_000  # 18 MB, cut inside characters
+    pages = spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string")
+    began = time.perf_counter()
+    out = warc.round_trip(pages).collect()
+    data = text.encode()
+    assert [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type) for r in out] == [(1, len(data), hashlib.sha256(data).hexdigest(), "response")]
+    assert time.perf_counter() - began < 60
