@@ -21,7 +21,9 @@ blocks of them at a time. What that doesn't join to that one's class is
 compared with every other text of the bucket, again in blocks, so that no
 candidate pair of different classes is left out; texts of one class need no
 further comparison. Neither step emits pairs: each emits links that span what
-it found.
+it found. Blocks are bounded by number and by bytes of texts, and long texts
+are compared pair by pair, so that a task holds about 12 bytes for each word of
+``LOT_BYTES`` of text, or of the longest text if that is more.
 
 Defined results
 ---------------
@@ -52,8 +54,12 @@ BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
 #: Texts that are compared at a time: with a bucket's central text, and later few by many.
 STAR, FEW, MANY = 128, 256, 512
-#: Texts whose shingles are held before they are dealt to their groups.
-SLICE = 512
+#: Bytes of text in such a block; a longer text is one by itself, or nearly.
+LOT_BYTES = 1 << 25
+#: Texts, and bytes of text, whose shingles are made before they are dealt to their groups.
+SLICE, SLICE_BYTES = 512, 1 << 24
+#: Shingles that are compared by one table; beyond, texts are compared pair by pair. Also those of one long text that are drawn from at a time.
+HELD = 1 << 21
 CHUNK = 4096
 #: Texts with candidates up to which their list (some 50 bytes each) is broadcast to find them.
 BROADCAST_NODES = 200_000
@@ -67,25 +73,38 @@ _ODD = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, BANDS * R
 _LOW = np.uint64(0xFFFF)
 
 
+def _draw(odd: np.uint64, shingle: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For one place of the signature, each shingle's variate (the smallest is drawn) and its level."""
+    h = shingle * odd
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    r, b = _R[h & _LOW], _B[(h >> np.uint64(16)) & _LOW]
+    t = np.floor(log_weight / r + b)
+    return _LOG_C[(h >> np.uint64(32)) & _LOW] - r * (t - b + np.float32(1)), t
+
+
 def signatures(of: np.ndarray, shingle: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts of a block that have words, and the band hashes of each (texts x BANDS)."""
-    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    sizes = np.diff(np.append(starts, len(of)))
-    owner = np.repeat(np.arange(len(starts)), sizes)
+    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if of[0] != of[-1] else np.zeros(1, np.int64)
     out = np.zeros((len(starts), BANDS), np.uint64)
+    owner = None if len(starts) == 1 else np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(of))))
     chosen = np.zeros(len(starts), np.int64)
     for k, odd in enumerate(_ODD):
-        h = shingle * odd
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(32)
-        r, b = _R[h & _LOW], _B[(h >> np.uint64(16)) & _LOW]
-        t = np.floor(log_weight / r + b)
-        log_a = _LOG_C[(h >> np.uint64(32)) & _LOW] - r * (t - b + np.float32(1))
-        least = np.minimum.reduceat(log_a, starts)
-        found = np.flatnonzero(log_a == least[owner])[::-1]
-        chosen[owner[found]] = found  # of equal ones, the first
-        value = S.mixed(shingle[chosen] * np.uint64(3) + t[chosen].astype(np.int64).astype(np.uint64) + np.uint64(k))
+        if owner is None:  # one text, of any length
+            best, level = np.inf, np.zeros(1, np.float32)
+            for at in range(0, len(of), HELD):
+                log_a, t = _draw(odd, shingle[at : at + HELD], log_weight[at : at + HELD])
+                first = int(log_a.argmin())
+                if log_a[first] < best:
+                    best, level, chosen[0] = log_a[first], t[first : first + 1], at + first
+        else:
+            log_a, t = _draw(odd, shingle, log_weight)
+            least = np.minimum.reduceat(log_a, starts)
+            found = np.flatnonzero(log_a == least[owner])[::-1]
+            chosen[owner[found]] = found  # of equal ones, the first
+            level = t[chosen]
+        value = S.mixed(shingle[chosen] * np.uint64(3) + level.astype(np.int64).astype(np.uint64) + np.uint64(k))
         out[:, k // ROWS] = S.mixed(out[:, k // ROWS] * np.uint64(0x9E3779B97F4A7C15) + value)
     return of[starts], out
 
@@ -125,7 +144,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def sketched(docs: DataFrame, idf) -> DataFrame:
-    """(doc_id, node, bands): node is the hash of the text; bands is null for texts without words. ``idf``: a broadcast table."""
+    """(doc_id, node, size, bands): node is the hash of the text, size its bytes; bands is null for texts without words. ``idf``: a broadcast table."""
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -137,25 +156,58 @@ def sketched(docs: DataFrame, idf) -> DataFrame:
                     texts, found = signatures(owner, shingle, log_weight)
                     for t, row in zip(texts, found.view(np.int64), strict=True):
                         bands[first + t] = row
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "bands": bands})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": batch["node"], "size": batch["size"], "bands": bands})
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), size, "text")
+    return rows.mapInPandas(sign, "doc_id long, node binary, size long, bands array<long>")
+
+
+def _shared(a: tuple, b: tuple) -> float:
+    """The weight that two sets (.., shingles in order, weights, ..) share; the smaller is looked up in the larger."""
+    if len(a[2]) > len(b[2]):
+        a, b = b, a
+    total = 0.0
+    for at in range(0, len(a[2]), HELD):
+        mine = a[2][at : at + HELD]
+        place = np.minimum(np.searchsorted(b[2], mine), len(b[2]) - 1)
+        found = np.flatnonzero(b[2][place] == mine)
+        total += float(np.minimum(a[3][at : at + HELD][found], b[3][place[found]]).sum(dtype=np.float64))
+    return total
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), "text")
-    return rows.mapInPandas(sign, "doc_id long, node binary, bands array<long>")
+
+def _lots(number, size, most: int):
+    """Into how many lots texts are dealt, by their number and their bytes."""
+    return F.ceil(number / most + 2 * size / LOT_BYTES).cast("int")
 
 
 def _compare(idf, threshold: float):
     """The function for partitions of rows (group, side, node, text), sorted by group: compares each text of side 0 with all of side 1."""
 
-    def links(sets: list[tuple], out: list[tuple]) -> None:
-        few, many = [s for s in sets if s[0] == 0], [s for s in sets if s[0] == 1]
-        if not few or not many:
+    def common(few: list[tuple], many: list[tuple]) -> Iterator[np.ndarray]:
+        """For each of ``few``, the weight that it shares with each of ``many``."""
+        if sum(len(s[2]) for s in (*few, *many)) > HELD:  # long texts, so few of them: one pair at a time
+            for a in few:
+                yield np.array([_shared(a, b) for b in many])
             return
         _, where = np.unique(np.concatenate([s[2] for s in few] + [s[2] for s in many]), return_inverse=True)
         cut = sum(len(s[2]) for s in few)
         columns, starts = where[cut:], np.cumsum([0, *(len(s[2]) for s in many[:-1])])
         heavy = np.concatenate([s[3] for s in many])
-        sums = np.array([s[4] for s in many])
         dense = np.zeros(where.max() + 1, np.float32)
+        at = 0
+        for a in few:
+            mine = where[at : at + len(a[2])]
+            at += len(mine)
+            dense[mine] = a[3]
+            yield np.add.reduceat(np.minimum(dense[columns], heavy).astype(np.float64), starts)
+            dense[mine] = 0
+
+    def links(sets: list[tuple], out: list[tuple]) -> None:
+        few, many = [s for s in sets if s[0] == 0], [s for s in sets if s[0] == 1]
+        if not few or not many:
+            return
+        sums = np.array([s[4] for s in many])
         up = {}
 
         def top(x):
@@ -164,22 +216,23 @@ def _compare(idf, threshold: float):
                 x = up[x]
             return x
 
-        at = 0
-        for side, node, shingle, weight, size in few:
-            mine = where[at : at + len(shingle)]
-            at += len(shingle)
-            dense[mine] = weight
-            common = np.add.reduceat(np.minimum(dense[columns], heavy).astype(np.float64), starts)
-            dense[mine] = 0
-            for j in np.flatnonzero(common >= threshold * (size + sums - common) - 1e-6):
+        for (_, node, _, _, size), both in zip(few, common(few, many), strict=True):
+            for j in np.flatnonzero(both >= threshold * (size + sums - both) - 1e-6):
                 a, b = top(node), top(many[j][1])
                 if a != b:  # a link that joins what the group's links so far don't
                     up[max(a, b)] = min(a, b)
-                    out.append((node, many[j][1], float(common[j] / (size + sums[j] - common[j]))))
+                    out.append((node, many[j][1], float(both[j] / (size + sums[j] - both[j]))))
+
+    def slices(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            lot = np.cumsum([len(t) for t in batch["text"]]) // SLICE_BYTES if len(batch) else np.zeros(0, np.int64)
+            for _, part in batch.groupby(lot, sort=True):
+                for at in range(0, len(part), SLICE):
+                    yield part.iloc[at : at + SLICE].reset_index(drop=True)
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, sets = None, []
-        for batch in (b.iloc[at : at + SLICE].reset_index(drop=True) for b in batches for at in range(0, len(b), SLICE)):
+        for batch in slices(batches):
             out: list[tuple] = []
             parts: dict[int, tuple] = {}
             for first, of, hashes in S.blocks(batch["text"].tolist()):
@@ -216,15 +269,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = spark.sparkContext.broadcast(S.idf_table(counts, n_docs))  # 4 MB at any size
     rows = materialize(sketched(docs, idf), "sketches")
     signed = rows.where(F.col("bands").isNotNull())
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    placed = materialize(nodes.select("node", "rep", F.posexplode("bands").alias("band", "hash")).select("node", "rep", F.xxhash64("band", "hash").alias("bucket")), "bands")
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    placed = materialize(nodes.select("node", "rep", "size", F.posexplode("bands").alias("band", "hash")).select("node", "rep", "size", F.xxhash64("band", "hash").alias("bucket")), "bands")
     # A bucket's first text is the one that shares most buckets with most others: of copies of one original, that is the original or near it.
     sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(placed.join(sizes, "bucket"), "shared-bands")
     central = shared.groupBy("node").agg(F.sum("n").alias("score"))
     scored = materialize(shared.join(central, "node"), "scored-bands")
     leaders = scored.groupBy("bucket").agg(F.max(F.struct("score", "node"))["node"].alias("leader"))
-    members = materialize(scored.join(leaders, "bucket").select("node", "rep", "bucket", "n", "leader"), "candidates")
+    members = materialize(scored.join(leaders, "bucket").select("node", "rep", "size", "bucket", "n", "leader"), "candidates")
 
     # One text for each node that has candidates. Its row is found by id and hash.
     wanted = materialize(members.select(F.col("node").alias("__node"), F.col("rep").alias("__rep")).distinct(), "wanted-texts")
@@ -235,8 +288,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "candidate-texts")
 
     # Every text with the first one of each of its buckets.
-    pairs = members.where(F.col("node") != F.col("leader")).select("leader", "node").distinct()
-    degree = pairs.groupBy("leader").agg(F.ceil(F.count("*") / STAR).cast("int").alias("lots"))
+    pairs = members.where(F.col("node") != F.col("leader")).select("leader", "node", "size").distinct()
+    degree = pairs.groupBy("leader").agg(_lots(F.count("*"), F.sum("size"), STAR).alias("lots"))
     degree = materialize(degree, "leaders")
     star = F.xxhash64("leader", "lot").alias("group")
     others = pairs.join(degree, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("lots")).cast("int").alias("lot")).select(star, F.lit(1).alias("side"), "node")
@@ -247,12 +300,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # What a bucket's first class doesn't hold, with everything in the bucket.
     named = labels.select(F.col("node").alias("__n"), "label")
     label = F.coalesce("label", "node")
-    mine = members.where("n > 2").join(named, F.col("node") == F.col("__n"), "left").select("bucket", "node", "leader", label.alias("label"))
+    mine = members.where("n > 2").join(named, F.col("node") == F.col("__n"), "left").select("bucket", "node", "size", "leader", label.alias("label"))
     first = labels.select(F.col("node").alias("__l"), F.col("label").alias("__first"))
-    mine = mine.join(first, F.col("leader") == F.col("__l"), "left").select("bucket", "node", "leader", (F.col("label") != F.coalesce("__first", "leader")).alias("apart"))
+    mine = mine.join(first, F.col("leader") == F.col("__l"), "left").select("bucket", "node", "size", "leader", (F.col("label") != F.coalesce("__first", "leader")).alias("apart"))
     mine = materialize(mine.where(F.col("node") != F.col("leader")), "bucket-classes")
-    sizes = mine.groupBy("bucket").agg(F.count_if("apart").alias("few"), F.count("*").alias("many")).where((F.col("few") > 0) & (F.col("many") > 1))
-    sizes = sizes.select("bucket", F.ceil(F.col("few") / FEW).cast("int").alias("few"), F.ceil(F.col("many") / MANY).cast("int").alias("many"))
+    apart = F.coalesce(F.sum(F.when(F.col("apart"), F.col("size"))), F.lit(0))
+    sizes = mine.groupBy("bucket").agg(F.count_if("apart").alias("few"), apart.alias("few_bytes"), F.count("*").alias("many"), F.sum("size").alias("many_bytes")).where((F.col("few") > 0) & (F.col("many") > 1))
+    sizes = sizes.select("bucket", _lots(F.col("few"), F.col("few_bytes"), FEW).alias("few"), _lots(F.col("many"), F.col("many_bytes"), MANY).alias("many"))
     cut = mine.join(sizes, "bucket")
     at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
     by_few = cut.where("apart").select("bucket", F.lit(0).alias("side"), "node", at("few").alias("i"), F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("j"))

@@ -108,7 +108,15 @@ def elements(of: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     shingle = np.zeros(max(0, n - WORDS + 1), np.uint64)
     for k in range(WORDS):
-        shingle += hashes[k : n - WORDS + 1 + k] * _MULTIPLIERS[k]
+        for at in range(0, len(shingle), BLOCK):
+            to = min(len(shingle), at + BLOCK)
+            shingle[at:to] += hashes[at + k : to + k] * _MULTIPLIERS[k]
+    if n >= WORDS and of[0] == of[-1]:  # one text: no arrays of owners
+        keys = mixed(shingle)
+        keys >>= _U(12)
+        keys.sort()
+        new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        return np.full(len(new), of[0]), keys[new], np.diff(np.append(new, len(keys)))
     whole = of[: max(0, n - WORDS + 1)] == of[WORDS - 1 :]
     owner, shingle = of[: len(whole)][whole], shingle[whole]
     counts = np.bincount(of)

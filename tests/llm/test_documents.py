@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -452,6 +453,32 @@ def test_buckets_larger_than_a_block(spark, monkeypatch):
     test_near_duplicates_are_those_of_brute_force(spark)
 
 
+def test_long_texts_in_little_memory(spark, monkeypatch):
+    """Long texts are drawn from and compared in parts, with the same results, and dealt by their bytes."""
+    monkeypatch.setattr(neardup, "HELD", 50)
+    monkeypatch.setattr(neardup, "LOT_BYTES", 2000)
+    monkeypatch.setattr(neardup, "SLICE_BYTES", 1500)
+    test_near_duplicates_are_those_of_brute_force(spark)
+
+
+def test_a_long_text_takes_memory_in_proportion(monkeypatch):
+    rng = np.random.default_rng(5)
+    text = " ".join(map(str, rng.integers(0, 1 << 20, 3_000_000)))  # 22 MB, 3 million words
+    tracemalloc.start()
+    ((_, of, hashes),) = shingles.blocks([text])
+    owner, shingle, times = shingles.elements(of, hashes)
+    log_weight = np.log(shingles.weights(shingle, times, np.ones(1 << shingles.DF_BITS, np.float32)))
+    texts, bands = neardup.signatures(owner, shingle, log_weight)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.tolist() == [0] and bands.shape == (1, neardup.BANDS) and peak < 12 * len(text)
+    monkeypatch.setattr(neardup, "HELD", 1 << 40)
+    assert (neardup.signatures(owner, shingle, log_weight)[1] == bands).all()
+    half = slice(0, len(shingle), 2)
+    weight = np.ones(len(shingle), np.float32)
+    assert neardup._shared((0, b"", shingle, weight, 0), (0, b"", shingle[half], weight[half], 0)) == len(shingle[half])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     out = {r.node: r.label for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
