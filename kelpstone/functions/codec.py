@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, FloatType, StructField, StructType
 
 from ..errors import EngineError
@@ -95,25 +96,29 @@ def decode_block(data: bytes) -> list[tuple[str, bytes, bool]]:
     return [(r.string(), r.raw(), r.take(1) != b"\0") for _ in range(r.u32())]
 
 
-def encode_record(lsn: int, op: int, key: str, value: bytes | None) -> bytes:
+def encode_record(lsn: int, op: int, key: str | bytes, value: bytes | None) -> bytes:
     """A log record: length and CRC of the payload, and the payload; a delete has no value."""
-    payload = Writer().put("B", op).u64(lsn).string(key)
+    payload = Writer().put("B", op).u64(lsn).raw(key.encode() if isinstance(key, str) else key)
     if op == 1:
         payload.raw(value or b"")
     data = bytes(payload.out)
     return bytes(Writer().u32(len(data)).u32(zlib.crc32(data)).out) + data
 
 
-def decode_payload(data: bytes) -> tuple[int, int, str, bytes | None]:
+def decode_payload(data: bytes) -> tuple[int, int, bytes, bytes | None]:
+    """(lsn, op, key, value); keys are bytes, of any kind."""
     r = Reader(data)
-    op, lsn, key = r.take(1)[0], r.u64(), r.string()
+    op, lsn = r.take(1)[0], r.u64()
     if op not in (1, 2):
-        raise EngineError("StorageCorruption", f"no such record type: {op}")
-    return lsn, op, key, r.raw() if op == 1 else None
+        raise EngineError("DataLoss", f"no such record type: {op}")
+    return lsn, op, r.raw(), r.raw() if op == 1 else None
 
 
-def decode_log(data: bytes) -> list[tuple[int, int, str, bytes | None]]:
-    """The valid beginning of a log: up to the first record that is short, too long, or not what its CRC says."""
+def decode_log(data: bytes) -> list[tuple[int, int, bytes, bytes | None]]:
+    """The valid beginning of a log: up to the first record that is short, too long, or not what its CRC says.
+
+    A whole record of an unknown type is no torn end but a log of another kind: StorageCorruption.
+    """
     out, at = [], 0
     while at + 8 <= len(data):
         length, crc = struct.unpack_from("<II", data, at)
@@ -124,18 +129,66 @@ def decode_log(data: bytes) -> list[tuple[int, int, str, bytes | None]]:
             break
         try:
             out.append(decode_payload(payload))
-        except (EngineError, UnicodeDecodeError):
+        except EngineError as wrong:
+            if wrong.name == "DataLoss":
+                raise EngineError("StorageCorruption", f"{wrong} at {at}") from wrong
             break
         at += 8 + length
     return out
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of an expression that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _little(number: Column, size: int) -> Column:
+    """A number as ``size`` bytes, the lowest first."""
+    return _bound(F.unhex(F.lpad(F.hex(number.cast("long")), 2 * size, "0")), lambda big: F.concat(*[F.substring(big, size - i, 1) for i in range(size)]))
+
+
+def _number(data: Column, at: int | Column, size: int) -> Column:
+    """The number in the ``size`` bytes from ``at`` (from 0), the lowest first."""
+    at = F.lit(at) if isinstance(at, int) else at
+    digits = F.hex(F.concat(*[F.substring(data, at + size - i, F.lit(1)) for i in range(size)]))
+    return F.conv(digits, 16, 10).cast("decimal(20,0)").cast("long")
+
+
+def record_column(lsn: Column, op: Column, key: Column, value: Column) -> Column:
+    """``encode_record`` as an expression."""
+    key, value = key.cast("binary"), F.coalesce(value, F.lit(b""))
+    tail = F.when(op == 1, F.concat(_little(F.octet_length(value), 4), value)).otherwise(F.lit(b""))
+    payload = F.concat(_little(op, 1), _little(lsn, 8), _little(F.octet_length(key), 4), key, tail)
+    return _bound(payload, lambda p: F.concat(_little(F.octet_length(p), 4), _little(F.crc32(p), 4), p))
+
+
+def mutation_column(record: Column) -> Column:
+    """struct(lsn, op, key, value) of a single record; anything but a whole record is an error."""
+
+    def fields(p: Column) -> Column:
+        op, size = _number(p, 0, 1), _number(p, 9, 4)
+        value = F.when(op == 1, F.substring(p, size + 18, _number(p, size + 13, 4)))
+        return F.struct(_number(p, 1, 8).alias("lsn"), op.cast("tinyint").alias("op"), F.substring(p, F.lit(14), size).cast("string").alias("key"), value.alias("value"))
+
+    def whole(p: Column) -> Column:
+        """Whether the lengths in a payload add up to its own."""
+        op, size, n = _number(p, 0, 1), _number(p, 9, 4), F.octet_length(p)
+        return ((op == 2) & (n == size + 13)) | ((op == 1) & (n >= size + 17) & (n == size + 17 + _number(p, size + 13, 4)))
+
+    body = F.when(F.octet_length(record) >= 8 + MIN_PAYLOAD, F.substring(record, F.lit(9), F.octet_length(record)))
+    sound = (_number(record, 0, 4) == F.octet_length(record) - 8) & (F.octet_length(record) <= 8 + MAX_PAYLOAD)
+    return _bound(body, lambda p: F.when(p.isNotNull() & sound & (F.crc32(p) == _number(record, 4, 4)) & whole(p), fields(p)).otherwise(F.raise_error(F.lit("StorageCorruption: not a whole record"))))
+
+
 def encode_vectors(rows: DataFrame, column: str = "embedding") -> DataFrame:
-    """``rows`` with the vector column as length-prefixed little-endian floats (``encoded``)."""
+    """``rows`` with the vector column as length-prefixed little-endian floats (``encoded``). Floats have no bytes in SQL, so Arrow batches; one conversion for each."""
 
     def to_bytes(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(encoded=[bytes(Writer().floats(v).out) for v in batch[column]])
+            sizes = np.array([len(v) for v in batch[column]], np.int64)
+            data = np.concatenate([*batch[column], np.zeros(0)]).astype("<f4").tobytes()
+            ends = 4 * np.cumsum(sizes)
+            yield batch.assign(encoded=[struct.pack("<I", n) + data[end - 4 * n : end] for n, end in zip(sizes.tolist(), ends.tolist(), strict=True)])
 
     return rows.mapInPandas(to_bytes, StructType([*rows.schema, StructField("encoded", BinaryType())]))
 

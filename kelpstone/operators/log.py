@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import MAX_PAYLOAD
@@ -27,8 +27,12 @@ def summary(log: DataFrame) -> DataFrame:
     return log.agg(F.max("lsn").alias("max_lsn"), F.count_if(F.col("op") == 1).alias("puts"), F.count_if(F.col("op") == 2).alias("deletes"))
 
 
+def size_in_memory(overhead: int = 64) -> Column:
+    """Approximate bytes of a version: key, value, and a fixed overhead."""
+    return F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + overhead
+
+
 def memory(log: DataFrame, overhead: int = 64) -> DataFrame:
-    """Approximate bytes in memory of what a log holds: newest values, keys, and a fixed overhead for each key."""
+    """Approximate bytes in memory of what a log holds: the newest version of each key."""
     newest = log.groupBy("key").agg(F.max_by("value", "lsn").alias("value"))
-    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + overhead
-    return newest.agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("bytes"))
+    return newest.agg(F.coalesce(F.sum(size_in_memory(overhead)), F.lit(0)).cast("long").alias("bytes"))

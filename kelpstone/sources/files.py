@@ -6,10 +6,11 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import decode_log, encode_record
+from ..functions.codec import decode_log, mutation_column, record_column
 from ..model import MUTATION
 
 
@@ -34,15 +35,30 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside, then renames: readers see nothing or all. An existing file is an error."""
+    """Writes beside, then puts it in place in one step: readers see nothing or all. An existing file is an error, also for the later of two writers.
+
+    On a local disk the step is a hard link, which never replaces a file; elsewhere a rename, which doesn't on HDFS. A store without such a step needs a lock.
+    """
     fs, where, jvm = _at(spark, path)
     beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(beside, False)
     out.write(bytearray(text.encode()))
     out.close()
-    if fs.exists(where) or not fs.rename(beside, where):
+    try:
+        if fs.exists(where):
+            raise FileExistsError(path)
+        if fs.getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Path.of(fs.makeQualified(p).toUri())
+            try:
+                jvm.java.nio.file.Files.createLink(local(where), local(beside))
+            except Py4JJavaError as other:
+                if "FileAlreadyExists" in str(other.java_exception):
+                    raise FileExistsError(path) from other
+                raise
+        elif not fs.rename(beside, where):
+            raise FileExistsError(path)
+    finally:
         fs.delete(beside, False)
-        raise FileExistsError(path)
 
 
 def list_names(spark: SparkSession, path: str) -> list[str]:
@@ -61,33 +77,23 @@ def size(spark: SparkSession, path: str) -> int:
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Binary logs as mutations: of each file, the valid beginning."""
+    """Binary logs as mutations: of each file, the valid beginning. Keys keep their bytes, whatever they are."""
 
     def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for data in batch["content"] for r in decode_log(bytes(data))]
             yield pd.DataFrame(rows, columns=["lsn", "op", "key", "value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, MUTATION)
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, MUTATION.replace("key string", "key binary"))
+    return found.withColumn("key", F.col("key").cast("string"))
 
 
 def encode_log(log: DataFrame) -> DataFrame:
     """Mutations with their binary records (``record``), for export."""
-
-    def encode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(record=[encode_record(int(lsn), int(op), key, value) for lsn, op, key, value in zip(batch["lsn"], batch["op"], batch["key"], batch["value"], strict=True)])
-
     rows = log.select("lsn", F.col("op").cast("tinyint").alias("op"), "key", "value")
-    return rows.mapInPandas(encode, MUTATION + ", record binary")
+    return rows.withColumn("record", record_column(F.col("lsn"), F.col("op"), F.col("key"), F.col("value")))
 
 
 def decode_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """Mutations of single binary records; a damaged one is left out."""
-
-    def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for data in batch[column] for r in decode_log(bytes(data))]
-            yield pd.DataFrame(rows, columns=["lsn", "op", "key", "value"])
-
-    return records.select(column).mapInPandas(decode, MUTATION)
+    """Mutations of single binary records; a damaged one is an error."""
+    return records.select(mutation_column(F.col(column)).alias("__m")).select("__m.*")

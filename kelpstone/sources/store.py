@@ -32,15 +32,16 @@ class Manifest:
     next_lsn: int = 1
     next_run: int = 1
     last_flushed_lsn: int = 0
-    batches: list[dict] = field(default_factory=list)  # path, first, last
+    batches: list[dict] = field(default_factory=list)  # path, first, last, bytes (of all its versions, as in memory)
+    held: dict = field(default_factory=lambda: {"lsn": 0, "bytes": 0})  # bytes in memory up to a number, when last measured
     runs: list[dict] = field(default_factory=list)  # RUN_META, entries
     streams: dict[str, int] = field(default_factory=dict)  # last batch of each stream
 
 
 class KvTable:
-    def __init__(self, spark: SparkSession, path: str, memtable_bytes: int = 64 << 20, levels: int = policy.LEVELS):
+    def __init__(self, spark: SparkSession, path: str, memtable_bytes: int = 64 << 20, levels: int = policy.LEVELS, run_bytes: int = policy.RUN_BYTES):
         self.spark, self.path, self.memtable_bytes, self.levels = spark, path.rstrip("/"), memtable_bytes, levels
-        self.flushes = 0
+        self.run_bytes, self.flushes = run_bytes, 0
         self.manifest = self._newest()
 
     @classmethod
@@ -95,22 +96,31 @@ class KvTable:
         rows.withColumn("__id", F.monotonically_increasing_id()).write.parquet(staged)
         rows = self.spark.read.parquet(staged)
         part = F.shiftrightunsigned("__id", 33)
-        counts = sorted(rows.groupBy(part.alias("part")).count().collect())  # one row per task that wrote
+        counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.sum(logs.size_in_memory()).alias("bytes")).collect()  # one row per task that wrote
         starts, at = {}, self.manifest.next_lsn
-        for r in counts:
+        for r in sorted(counts):
             starts[r["part"]] = at
-            at += r["count"]
+            at += r["n"]
         if starts:
             begin = self.spark.createDataFrame(list(starts.items()), "__part long, __start long")
             rows = rows.withColumn("__part", part).join(F.broadcast(begin), "__part")
             rows.select((F.col("__start") + F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).alias("lsn"), "op", "key", "value").write.parquet(final)
         files.delete(self.spark, staged)
-        batches = [*self.manifest.batches, {"path": f"log/{name}", "first": self.manifest.next_lsn, "last": at - 1}] if starts else self.manifest.batches
+        batches = [*self.manifest.batches, {"path": f"log/{name}", "first": self.manifest.next_lsn, "last": at - 1, "bytes": sum(r["bytes"] for r in counts)}] if starts else self.manifest.batches
         self._commit(next_lsn=at, batches=batches, streams={**self.manifest.streams, **({stream[0]: stream[1]} if stream else {})})
-        if self.memory() >= self.memtable_bytes:
+        if self._full():
             self.flush()
         return at - 1
 
+    def _full(self) -> bool:
+        """Whether what isn't flushed fills its memory. Bytes of batches are added up; only when they could fill it, newest versions are measured, and that is remembered."""
+        held = self.manifest.held if self.manifest.held["lsn"] > self.manifest.last_flushed_lsn else {"lsn": self.manifest.last_flushed_lsn, "bytes": 0}
+        if held["bytes"] + sum(b["bytes"] for b in self.manifest.batches if b["last"] > held["lsn"]) < self.memtable_bytes:
+            return False
+        now = self.memory()
+        self.manifest.held = {"lsn": self.manifest.next_lsn - 1, "bytes": now}  # written with the next manifest
+        return now >= self.memtable_bytes
+
     def write(self, mutations: Iterable[tuple[int, str, bytes | None]]) -> int:
         rows = [(i, op, key, None if value is None else bytes(value)) for i, (op, key, value) in enumerate(mutations)]
         return self.append(self.spark.createDataFrame(rows, "seq long, op tinyint, key string, value binary").coalesce(1))
@@ -139,8 +149,11 @@ class KvTable:
     def entries(self, low: str | None = None, high: str | None = None) -> DataFrame:
         """All versions in log and runs. Runs whose key range misses [low, high] aren't opened."""
         hit = [r for r in self.manifest.runs if (high is None or r["smallest_key"] <= high) and (low is None or r["largest_key"] >= low)]
+        return self._versions(hit)
+
+    def _versions(self, runs: list[dict]) -> DataFrame:
         logged = self.unflushed().select("key", "value", (F.col("op") == DELETE).alias("is_tombstone"), F.col("lsn").alias("seq"))
-        return logged.unionByName(self._read([r["filepath"] for r in hit], ENTRY))
+        return logged.unionByName(self._read([r["filepath"] for r in runs], ENTRY))
 
     def scan(self) -> DataFrame:
         return versions.latest(self.entries())
@@ -151,8 +164,14 @@ class KvTable:
     def range(self, low: str, high: str) -> DataFrame:
         return versions.scan_range(self.entries(low, high), low, high)
 
+    def ordered(self) -> DataFrame:
+        """Live versions by ascending key."""
+        return self.scan().orderBy("key")
+
     def prefix(self, prefix: str) -> DataFrame:
-        return versions.scan_prefix(self.entries(), prefix)
+        """Live versions of keys that begin so. Runs that end before the first such key, or begin after the last, aren't opened."""
+        hit = [r for r in self.manifest.runs if r["largest_key"] >= prefix and (r["smallest_key"] <= prefix or r["smallest_key"].startswith(prefix))]
+        return versions.scan_prefix(self._versions(hit), prefix)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
         return versions.multi_get(self.entries(), keys)
@@ -162,11 +181,14 @@ class KvTable:
         return None if row is None else bytes(row["value"])
 
     # Runs.
-    def _write_run(self, entries: DataFrame, level: int) -> tuple[list[dict], int]:
-        """Sorted files of one level, one run each; ranges of files don't overlap. Returns their metas and the next run number."""
+    def _write_run(self, entries: DataFrame, level: int, size: int) -> tuple[list[dict], int]:
+        """Sorted files of one level, one run each; ranges of files don't overlap. ``size``: bytes that the entries may have, which are split into runs of ``run_bytes``.
+
+        Returns their metas and the next run number.
+        """
         name = f"runs/L{level}-{self.manifest.next_run:08d}-{uuid.uuid4().hex[:8]}"
-        # Ranges of keys, as many as the data needs (small ones are joined at run time); filters are sized by what they hold.
-        sorted_runs = entries.repartitionByRange("key").sortWithinPartitions("key").write
+        sorted_runs = entries.repartitionByRange(max(1, -(-size // self.run_bytes)), "key").sortWithinPartitions("key").write
+        # Filters are sized by what they hold.
         filtered = sorted_runs.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
         filtered.parquet(f"{self.path}/{name}")
         written = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{name}")
@@ -183,7 +205,8 @@ class KvTable:
         last = batch.agg(F.max("lsn").alias("last")).first()["last"]
         if last is None:
             return False
-        found, number = self._write_run(merging.flush(batch.where(F.col("lsn") <= last)).select("key", "value", "is_tombstone", "seq"), 0)
+        size = sum(b["bytes"] for b in self.manifest.batches if b["last"] > self.manifest.last_flushed_lsn)
+        found, number = self._write_run(merging.flush(batch.where(F.col("lsn") <= last)).select("key", "value", "is_tombstone", "seq"), 0, size)
         self._commit(last_flushed_lsn=last, runs=[*self.manifest.runs, *found], next_run=number)
         self.flushes += 1
         return True
@@ -203,15 +226,25 @@ class KvTable:
         chosen = [r for r in self.manifest.runs if r["filepath"] in inputs]
         bottom = level + 1 == self.levels - 1
         entries = self._read([r["filepath"] for r in chosen], ENTRY)
-        counts = merging.merge_stats(entries, bottom).first()
-        found, number = self._write_run(merging.merge(entries, bottom).select("key", "value", "is_tombstone", "seq"), level + 1) if counts["keys_written"] else ([], self.manifest.next_run)
+        read, size = sum(r["entries"] for r in chosen), sum(r["file_size_bytes"] for r in chosen)
+        found, number = self._write_run(merging.merge(entries, bottom).select("key", "value", "is_tombstone", "seq"), level + 1, size)
+        written = sum(r["entries"] for r in found)
+        # What is read and written is known from the catalogue. Only at the bottom keys are counted, without their values, for the tombstones that went.
+        dropped = merging.merge_stats(entries.drop("value"), bottom).first()["tombstones_dropped"] if bottom else 0
         self._commit(runs=[r for r in self.manifest.runs if r["filepath"] not in inputs] + found, next_run=number)  # what is flushed stays as it was
         return {
-            "source_level": level, "target_level": level + 1, "files_read": len(chosen), "files_written": len(found), "bytes_read": sum(r["file_size_bytes"] for r in chosen),
-            "bytes_written": sum(r["file_size_bytes"] for r in found), "keys_merged": counts["keys_merged"], "tombstones_dropped": counts["tombstones_dropped"],
-            "duplicate_keys_dropped": counts["duplicate_keys_dropped"], "duration_ms": 1000 * (time.time() - began),
+            "source_level": level, "target_level": level + 1, "files_read": len(chosen), "files_written": len(found), "bytes_read": size,
+            "bytes_written": sum(r["file_size_bytes"] for r in found), "keys_merged": read, "tombstones_dropped": dropped,
+            "duplicate_keys_dropped": read - written - dropped, "duration_ms": 1000 * (time.time() - began),
         }
 
+    def compact_while_due(self, most: int = 100) -> list[dict]:
+        """Merges until no level is due; ``most`` bounds the rounds."""
+        done: list[dict] = []
+        while len(done) < most and self.needs_compaction():
+            done.append(self.compact())
+        return done
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Removes files that none of the newest ``keep`` manifests names, flushed log batches included."""
         names = [n for n in files.list_names(self.spark, f"{self.path}/manifests") if n.endswith(".json")]

@@ -15,16 +15,20 @@ from ..operators import folds
 from ..sources.store import KvTable
 
 
-def into_table(stream: DataFrame, table: KvTable, checkpoint: str, name: str = "ingest", compact: bool = False) -> StreamingQuery:
-    """Appends each micro-batch (op, key, value[, seq]) to the table once: the manifest remembers the last batch."""
+def into_table(stream: DataFrame, table: KvTable, checkpoint: str, name: str = "ingest", compact: bool = False, every: str | None = None) -> StreamingQuery:
+    """Appends each micro-batch (op, key, value[, seq]) to the table once: the manifest remembers the last batch.
+
+    ``every``: an interval such as "10 seconds", at which a query that goes on starts batches; without it, it takes what is there and ends.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             table.append(batch, (name, number))
-            if compact and table.needs_compaction():
-                table.compact()
+            if compact:
+                table.compact_while_due()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def latest_of_stream(stream: DataFrame, order: str = "lsn") -> DataFrame:

@@ -73,7 +73,7 @@ def test_blocks_round_trip():
 
 
 def test_log_records_and_torn_ends():
-    rows = [(1, 1, "vec_0", b"x"), (2, 1, "", b""), (3, 2, "vec_0", None)]
+    rows = [(1, 1, b"vec_0", b"x"), (2, 1, b"", b""), (3, 2, b"\xff\xfe no text", None)]
     data = b"".join(codec.encode_record(*r) for r in rows)
     assert codec.decode_log(data) == rows
     assert codec.decode_log(data + bytes.fromhex("FFDEADBEEF00000042")) == rows
@@ -82,6 +82,23 @@ def test_log_records_and_torn_ends():
     broken[9] ^= 1
     assert codec.decode_log(bytes(broken)) == []
     assert codec.decode_log(struct.pack("<II", codec.MAX_PAYLOAD + 1, 0) + data) == []
+    with pytest.raises(errors.EngineError) as wrong:  # a whole record of another type isn't passed over
+        codec.decode_log(codec.encode_record(1, 3, "k", None) + data)
+    assert wrong.value.name == "StorageCorruption"
+
+
+def test_records_as_expressions(spark):
+    from kelpstone.sources import files
+
+    rows = [(1, 1, b"vec_0", b"x"), (1 << 40, 1, b"", b""), (3, 2, b"\xff\xfe no text", None), (4, 1, "é日".encode(), bytes(range(256)) * 20)]
+    made = files.encode_log(spark.createDataFrame(rows, "lsn long, op tinyint, key binary, value binary"))
+    records = {r.lsn: bytes(r.record) for r in made.select("lsn", "record").collect()}
+    assert records == {r[0]: codec.encode_record(*r) for r in rows}
+    back = files.decode_records(made).selectExpr("lsn", "op", "cast(key as binary) key", "value").collect()
+    assert sorted((r.lsn, r.op, bytes(r.key), None if r.value is None else bytes(r.value)) for r in back) == sorted(rows)
+    for wrong in (b"", records[1][:-1], records[1] + b"x", records[1][:9] + b"\0" + records[1][10:], codec.encode_record(1, 3, "k", None), struct.pack("<II", 21, 5) + b"\1" * 21):
+        with pytest.raises(Exception, match="StorageCorruption"):
+            files.decode_records(spark.createDataFrame([(wrong,)], "record binary")).collect()
 
 
 def test_config(tmp_path):

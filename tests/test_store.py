@@ -1,6 +1,8 @@
 """The table: writes, flushes, merges, restarts, snapshots, streams; and the driver's entry points."""
 
+import random
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,6 +50,81 @@ def test_merging_keeps_the_newest_and_unflushed_writes(spark, tmp_path):
     assert back.vacuum(keep=1) and back.get("same") == b"3" and back.get("fresh") == b"!"
 
 
+def test_runs_are_split_and_pruned(spark, tmp_path):
+    t = KvTable.open(spark, f"{tmp_path}/t", levels=2, run_bytes=20_000)
+    rnd = random.Random(1)
+    for part in range(4):
+        t.write([(1, f"key_{i:04d}", rnd.randbytes(100)) for i in range(part, 1200, 4)])
+        t.flush()
+    out = t.compact()
+    runs = sorted(t.manifest.runs, key=lambda r: r["smallest_key"])
+    assert out["files_written"] == len(runs) > 4 and all(a["largest_key"] < b["smallest_key"] for a, b in zip(runs, runs[1:]))
+    assert (out["keys_merged"], out["duplicate_keys_dropped"], out["tombstones_dropped"]) == (1200, 0, 0)
+    assert len(t.entries("key_0003", "key_0003").inputFiles()) == 1 and len(t.prefix("key_000").inputFiles()) == 1 and t.prefix("zzz").isEmpty()
+    assert [r.key for r in t.ordered().collect()] == [f"key_{i:04d}" for i in range(1200)] and t.prefix("key_00").count() == 100
+    plan = t.range("key_0003", "key_0004")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(key,key_0003)" in plan
+
+
+def test_filters_are_written_for_keys(spark, tmp_path):
+    """A run's file holds a Bloom filter of its keys, which lookups are checked against."""
+    import pyarrow.parquet as pq
+
+    t = KvTable.open(spark, f"{tmp_path}/t")
+    t.write([(1, f"key_{2 * i:06d}", b"x" * 50) for i in range(3000)])
+    t.flush()
+    (run,) = t.manifest.runs
+    meta = pq.ParquetFile(f"{tmp_path}/t/{run['filepath']}").metadata
+    plain = sum(meta.row_group(g).column(c).total_compressed_size for g in range(meta.num_row_groups) for c in range(meta.num_columns))
+    assert run["file_size_bytes"] > plain + 1000 and t.get("key_000003") is None and t.get("key_000004") == b"x" * 50
+
+
+def test_memory_is_measured_only_when_it_could_be_full(spark, tmp_path, monkeypatch):
+    measured = []
+    t = KvTable.open(spark, f"{tmp_path}/t", memtable_bytes=1000)
+    exact = t.memory
+    monkeypatch.setattr(t, "memory", lambda: measured.append(exact()) or measured[-1])
+    for i in range(4):
+        t.put("same", b"v" * 132)  # 200 bytes of one key, again and again
+    assert not measured and not t.flushes
+    t.put("same", b"v" * 132)
+    assert measured == [200] and not t.flushes
+    t.write([(1, f"other{i}", b"v" * 130) for i in range(4)])
+    assert t.flushes == 1 and t.unflushed().isEmpty()
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    """However many write a file at the same time, one does, and the others are told."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        try:
+            files.write_text(spark, f"{tmp_path}/m/000001.json", str(i))
+            return i
+        except FileExistsError:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        done = [x for x in pool.map(write, range(16)) if x is not None]
+    assert len(done) == 1 and files.read_text(spark, f"{tmp_path}/m/000001.json") == str(done[0]) and files.list_names(spark, f"{tmp_path}/m") == ["000001.json"]
+
+
+def test_a_stream_that_goes_on(spark, tmp_path):
+    schema = "seq long, op tinyint, key string, value binary"
+    spark.createDataFrame([(1, 1, "a", b"1")], schema).write.parquet(f"{tmp_path}/in")
+    t = KvTable.open(spark, f"{tmp_path}/t")
+    query = ingest.into_table(ingest.read_files(spark, f"{tmp_path}/in", schema), t, f"{tmp_path}/c", every="200 milliseconds")
+    try:
+        for value in (b"1", b"2"):
+            until = time.time() + 60
+            while t.get("a") != value and time.time() < until:
+                time.sleep(0.2)
+            assert t.get("a") == value
+            spark.createDataFrame([(2, 1, "a", b"2")], schema).write.mode("append").parquet(f"{tmp_path}/in")
+    finally:
+        query.stop()
+
+
 def test_threshold_flushes(spark, tmp_path):
     with KvTable.open(spark, f"{tmp_path}/t", memtable_bytes=1024) as t:
         t.write([(1, f"vec_{i}", bytes([65 + i % 26]) * 50) for i in range(50)])
