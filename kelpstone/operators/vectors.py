@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Query vectors up to which the query side is broadcast; more are searched in blocks of so many.
-BLOCK = 10_000
+#: Query vectors that go with one reading of the base (some 25 MB for 64 floats each); more take more readings. A task scores FEW of them at a time.
+PASS, FEW = 100_000, 256
+#: Query vectors up to which the expression form is used.
+EXPRESSED = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,12 +40,12 @@ def top_k(pairs: DataFrame, k: int, ascending: bool, query: str = "query_id", it
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn(base: DataFrame, queries: DataFrame, k: int, measure: str = "l2", digits: int = 9) -> DataFrame:
-    """(query_id, vec_id, score, rank) by expressions, for few queries: each row of the base meets the broadcast queries."""
+def knn_expressions(base: DataFrame, queries: DataFrame, k: int, measure: str = "l2", digits: int = 9) -> DataFrame:
+    """(query_id, vec_id, score, rank) by expressions alone, for few queries: each row of the base meets the broadcast queries."""
     f, ascending = MEASURES[measure]
     few = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
-    if few.count() > BLOCK:
-        return knn_batched(base, queries, k, measure, digits)
+    if few.count() > EXPRESSED:
+        return knn(base, queries, k, measure, digits)
     pairs = base.join(F.broadcast(few), F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", "vec_id", F.round(f(F.col("embedding"), F.col("__q")), digits).alias("score"))
     return top_k(scored, k, ascending)
@@ -60,31 +62,78 @@ def scores(a: np.ndarray, b: np.ndarray, measure: str) -> np.ndarray:
     return a @ b.T
 
 
-def knn_batched(base: DataFrame, queries: DataFrame, k: int, measure: str = "l2", digits: int = 9) -> DataFrame:
-    """The same for many queries, as matrix products over Arrow batches; a task keeps its k best for each query of a block."""
-    ascending = MEASURES[measure][1]
+class Best:
+    """The k best of each query among the vectors seen so far. Ties go to the smaller id."""
+
+    def __init__(self, queries: int, k: int, ascending: bool):
+        self.k, self.sign = k, 1.0 if ascending else -1.0
+        self.scores, self.ids = np.full((queries, 0), np.inf), np.zeros((queries, 0), np.int64)
+
+    def add(self, at: slice, found: np.ndarray, ids: np.ndarray) -> None:
+        """``found``: scores of the queries of ``at`` against vectors with ascending ``ids``; not finite where a pair doesn't count."""
+        if self.scores.shape[1] < self.k:
+            missing = self.k - self.scores.shape[1]
+            self.scores = np.pad(self.scores, ((0, 0), (0, missing)), constant_values=np.inf)
+            self.ids = np.pad(self.ids, ((0, 0), (0, missing)), constant_values=np.iinfo(np.int64).max)
+        order = np.argsort(found * self.sign, axis=1, kind="stable")[:, : self.k]
+        scores = np.concatenate((self.scores[at], np.take_along_axis(found, order, 1) * self.sign), 1)
+        both = np.concatenate((self.ids[at], ids[order]), 1)
+        order = np.lexsort((both, scores), axis=1)[:, : self.k]
+        self.scores[at], self.ids[at] = np.take_along_axis(scores, order, 1), np.take_along_axis(both, order, 1)
+
+    def frame(self, queries: np.ndarray) -> pd.DataFrame:
+        width = self.scores.shape[1]
+        out = pd.DataFrame({"query_id": np.repeat(queries, width), "vec_id": self.ids.ravel(), "score": (self.scores * self.sign).ravel()})
+        return out[np.isfinite(out["score"])]
+
+
+def passes(queries: DataFrame) -> Iterator:
+    """The queries (ids and vectors), broadcast, PASS of them at a time on average."""
     n = queries.count()
-    blocks = max(1, -(-n // BLOCK))
+    parts = max(1, -(-n // PASS))
+    for part in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "embedding").toPandas()
+        yield queries.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(np.int64), np.array(rows["embedding"].tolist(), np.float32)))
+
+
+def knn(base: DataFrame, queries: DataFrame, k: int, measure: str = "l2", digits: int = 9, by: str | None = None) -> DataFrame:
+    """(query_id, vec_id, score, rank) as matrix products over Arrow batches; a task keeps its k best for each query. ``by``: the k best of each value of this column first."""
+    ascending = MEASURES[measure][1]
     out = None
-    for block in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).select("vec_id", "embedding").toPandas()  # BLOCK rows on average
-        sent = base.sparkSession.sparkContext.broadcast((part["vec_id"].to_numpy(), np.array(part["embedding"].tolist(), np.float32)))
-        found = base.select("vec_id", "embedding").mapInPandas(_nearest(sent, k, measure, ascending, digits), "query_id long, vec_id long, score double")
+    for sent in passes(queries):
+        columns = ["vec_id", "embedding", *([by] if by else [])]
+        found = base.select(*columns).mapInPandas(_nearest(sent, k, measure, ascending, digits, by), "query_id long, vec_id long, score double" + (f", {by} {base.schema[by].dataType.simpleString()}" if by else ""))
         out = found if out is None else out.unionByName(found)
+    if by:
+        order = F.col("score").asc() if ascending else F.col("score").desc()
+        local = F.row_number().over(Window.partitionBy("query_id", by).orderBy(order, "vec_id"))
+        out = out.withColumn("__r", local).where(F.col("__r") <= k).drop("__r")
     return top_k(out, k, ascending)
 
 
-def _nearest(sent, k: int, measure: str, ascending: bool, digits: int):
+def knn_batched(base: DataFrame, queries: DataFrame, k: int, measure: str = "l2", digits: int = 9) -> DataFrame:
+    """The same as ``knn``, by its first name."""
+    return knn(base, queries, k, measure, digits)
+
+
+def _nearest(sent, k: int, measure: str, ascending: bool, digits: int, by: str | None):
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, wanted = sent.value
+        best: dict = {}
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            found = np.round(scores(wanted, np.array(batch["embedding"].tolist(), np.float32), measure), digits)
-            found[ids[:, None] == batch["vec_id"].to_numpy()[None, :]] = np.inf if ascending else -np.inf
-            order = np.lexsort((np.broadcast_to(batch["vec_id"].to_numpy(), found.shape), found if ascending else -found), axis=1)[:, :k]
-            rows = np.take_along_axis(found, order, 1)
-            frame = pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": batch["vec_id"].to_numpy()[order.ravel()], "score": rows.ravel()})
-            yield frame[np.isfinite(frame["score"])]
+            for name, part in batch.groupby(by) if by else [(None, batch)]:
+                if not len(part) or not len(ids):
+                    continue
+                part = part.sort_values("vec_id", kind="stable")
+                own, data = part["vec_id"].to_numpy(np.int64), np.array(part["embedding"].tolist(), np.float32)
+                kept = best.setdefault(name, Best(len(ids), k, ascending))
+                for at in range(0, len(ids), FEW):
+                    few = slice(at, at + FEW)
+                    found = np.round(scores(wanted[few], data, measure), digits)
+                    found[ids[few, None] == own[None, :]] = np.inf if ascending else -np.inf
+                    found[np.isnan(found)] = np.inf if ascending else -np.inf
+                    kept.add(few, found, own)
+        for name, kept in best.items():
+            yield kept.frame(ids).assign(**({by: name} if by else {}))
 
     return walk
