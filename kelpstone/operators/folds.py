@@ -1,16 +1,19 @@
 """Ordered folds: hybrid clocks, leader-election histories, cache traces, block packing.
 
-Each fold is one pure function over rows in order, used by ``applyInPandas``
-here and by the stateful streams of ``kelpstone.streaming``. A fold's group is
-a history whose events depend on one another; histories are dealt out by their
-key, the rows of one are sorted inside the fold.
+Each fold is one pure step over rows in order, used by ``fold`` here and by the
+stateful streams of ``kelpstone.streaming``. A fold's group is a history whose
+events depend on one another; histories are dealt out by their key, sorted by
+Spark, and walked a batch at a time with the state carried along, so that a
+history of any length takes the memory of a batch.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,30 @@ BLOCK_BYTES, BLOCK_HEADER = 4096, 4
 LOGICAL_MAX = 0xFFFF
 
 
+def fold(rows: DataFrame, by: str, order: str, schema: str, begin: Callable[[Any], Any]) -> DataFrame:
+    """``begin`` makes the state of a history from its key: an object with ``feed(rows)`` and ``end()``, which return result rows."""
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = state = None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = batch[by].to_numpy()
+            bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(batch)]
+            for low, high in zip(bounds, bounds[1:]):
+                if low == high:
+                    continue
+                if state is None or keys[low] != key:
+                    out += state.end() if state else []
+                    key = keys[low]
+                    state = begin(key)
+                out += state.feed(batch.iloc[low:high])
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(state.end() if state else [], columns=names)
+
+    return rows.repartition(F.col(by)).sortWithinPartitions(by, order).mapInPandas(walk, schema)
+
+
 def hlc_now(events: DataFrame, node: str = "node", seq: str = "seq", physical: str = "physical") -> DataFrame:
     """Clock values of purely local events, in closed form: running maximum, and rank among events since it last rose.
 
@@ -55,18 +82,24 @@ def hlc_step(state: tuple[int, int], kind: str, now: int, remote: tuple[int, int
     return top, 1 + max(x[1] for x in (state, remote) if x[0] == top)
 
 
-def hlc_update(events: DataFrame) -> DataFrame:
-    """Clock values of local events and received messages, by node in order of seq."""
+class _Clock:
+    def __init__(self, node):
+        self.node, self.state = node, (0, 0)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        state, out = (0, 0), []
-        for kind, now, phys, logical in zip(rows["kind"], rows["physical"], rows["remote_phys"], rows["remote_logical"], strict=True):
-            state = hlc_step(state, kind, int(now), None if pd.isna(phys) else (int(phys), int(logical)))
-            out.append(state)
-        return pd.DataFrame({"node": rows["node"].to_numpy(), "seq": rows["seq"].to_numpy(), "phys": [s[0] for s in out], "logical": [s[1] for s in out]})
+    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+        out = []
+        for seq, kind, now, phys, logical in zip(rows["seq"], rows["kind"], rows["physical"], rows["remote_phys"], rows["remote_logical"], strict=True):
+            self.state = hlc_step(self.state, kind, int(now), None if pd.isna(phys) else (int(phys), int(logical)))
+            out.append((self.node, seq, *self.state))
+        return out
 
-    return events.groupBy("node").applyInPandas(fold, "node string, seq long, phys long, logical int")
+    def end(self) -> list[tuple]:
+        return []
+
+
+def hlc_update(events: DataFrame) -> DataFrame:
+    """Clock values of local events and received messages, by node in order of seq."""
+    return fold(events.select("node", "seq", "kind", "physical", "remote_phys", "remote_logical"), "node", "seq", "node string, seq long, phys long, logical int", _Clock)
 
 
 class RaftNode:
@@ -115,14 +148,20 @@ def raft_rows(node: RaftNode, rows: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def raft_history(events: DataFrame) -> DataFrame:
-    """The state after each event, by node in order of seq."""
+class _Raft:
+    def __init__(self, node):
+        self.node = RaftNode(node)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        return pd.DataFrame(raft_rows(RaftNode(rows["node"].iloc[0]), rows), columns=[c.split()[0] for c in RAFT_OUT.split(", ")])
+    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+        return raft_rows(self.node, rows)
 
-    return events.groupBy("node").applyInPandas(fold, RAFT_OUT)
+    def end(self) -> list[tuple]:
+        return []
+
+
+def raft_history(events: DataFrame) -> DataFrame:
+    """The state after each event, by node in order of seq."""
+    return fold(events.select("node", "seq", "kind", "term", "peer"), "node", "seq", RAFT_OUT, _Raft)
 
 
 class LruCache:
@@ -153,45 +192,59 @@ class LruCache:
         return gone
 
 
+class _Cache:
+    def __init__(self, shard, capacity: int):
+        self.shard, self.cache = shard, LruCache(capacity)
+
+    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+        out = []
+        for seq, op, key, size in zip(rows["seq"], rows["op"], rows["key"], rows["bytes"], strict=True):
+            hit, gone = (self.cache.get(key), 0) if op == "get" else (False, self.cache.put(key, int(size)))
+            out.append((self.shard, seq, op, key, hit, gone, self.cache.used))
+        return out
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def lru_trace(ops: DataFrame, capacity: int, shard: str = "shard") -> DataFrame:
     """Hits and evictions of each operation of a trace, one cache for each shard of keys."""
     schema = f"{shard} {ops.schema[shard].dataType.simpleString()}, seq long, op string, key string, hit boolean, evicted int, used long"
+    return fold(ops.select(shard, "seq", "op", "key", "bytes"), shard, "seq", schema, lambda name: _Cache(name, capacity))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        cache, out = LruCache(capacity), []
-        for name, seq, op, key, size in rows.sort_values("seq")[[shard, "seq", "op", "key", "bytes"]].itertuples(index=False):
-            hit, gone = (cache.get(key), 0) if op == "get" else (False, cache.put(key, int(size)))
-            out.append((name, seq, op, key, hit, gone, cache.used))
-        return pd.DataFrame(out, columns=[shard, "seq", "op", "key", "hit", "evicted", "used"])
 
-    return ops.groupBy(shard).applyInPandas(fold, schema)
+class Blocks:
+    """Packs a run's entries in order: a block is closed when the next entry would exceed it, and holds one entry at least."""
 
+    def __init__(self, run, limit: int = BLOCK_BYTES):
+        self.run, self.limit, self.block, self.offset = run, limit, 0, 0
+        self.first = self.last = None
+        self.used = self.entries = 0
 
-def pack_blocks(sizes: Iterable[int], limit: int = BLOCK_BYTES) -> list[int]:
-    """The block of each entry: a block is closed when the next entry would exceed it, and holds one entry at least."""
-    out, block, used = [], 0, BLOCK_HEADER
-    for size in sizes:
-        if used > BLOCK_HEADER and used + size > limit:
-            block, used = block + 1, BLOCK_HEADER
-        used += size
-        out.append(block)
-    return out
+    def end(self) -> list[tuple]:
+        """The open block, if there is one."""
+        if not self.entries:
+            return []
+        row = (self.run, self.block, self.first, self.last, self.offset, self.used + BLOCK_HEADER, self.entries)
+        self.block, self.offset = self.block + 1, self.offset + self.used + BLOCK_HEADER
+        self.used = self.entries = 0
+        return [row]
+
+    def feed(self, rows: pd.DataFrame) -> list[tuple]:
+        out = []
+        for key, size in zip(rows["key"].tolist(), rows["size"].tolist(), strict=True):
+            if self.entries and BLOCK_HEADER + self.used + size > self.limit:
+                out += self.end()
+            if not self.entries:
+                self.first = key
+            self.last, self.used, self.entries = key, self.used + size, self.entries + 1
+        return out
 
 
 def block_index(entries: DataFrame, run: str = "run", limit: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of each run's sorted entries (key, size): first and last key, offset, bytes, entries. A run is bounded by the merge's split size."""
+    """Blocks of each run's sorted entries (key, size): first and last key, offset, bytes, entries."""
     schema = f"{run} {entries.schema[run].dataType.simpleString()}, block int, first_key string, last_key string, block_offset long, block_size long, entries long"
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("key")
-        rows = rows.assign(block=pack_blocks(rows["size"], limit))
-        out = rows.groupby("block").agg(first_key=("key", "first"), last_key=("key", "last"), block_size=("size", "sum"), entries=("key", "size")).reset_index()
-        out["block_size"] += BLOCK_HEADER
-        out["block_offset"] = out["block_size"].cumsum() - out["block_size"]
-        out[run] = rows[run].iloc[0]
-        return out[[run, "block", "first_key", "last_key", "block_offset", "block_size", "entries"]]
-
-    return entries.select(run, "key", "size").groupBy(run).applyInPandas(fold, schema)
+    return fold(entries.select(run, "key", "size"), run, "key", schema, lambda name: Blocks(name, limit))
 
 
 def find_block(keys: DataFrame, index: DataFrame, run: str = "run", key: str = "key") -> DataFrame:

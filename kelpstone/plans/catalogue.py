@@ -13,12 +13,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import errors
 from ..config import role_column
 from ..functions import clocks, codec, hashing, text
+from ..model import MERGE_STATS
 from ..operators import ann, bloom, catalogue, folds, log, merge, metrics, routing, vectors, versions
 from ..sources import files, scratch
+from ..sources.store import KvTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,12 +42,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """key, value, is_tombstone, seq, op, lsn of the event table."""
+    """key, value, payload (bytes of different length, of puts), is_tombstone, seq, op, lsn of the event table."""
     e = _table(spark, sf_dir, "events")
     dead = F.col("event_type") == "error"
+    payload = F.concat("props", F.expr("repeat('x', cast(event_id * 37 % 300 as int))")).cast("binary")
     return e.select(
-        F.col("user_id").alias("key"), "value", dead.alias("is_tombstone"), F.col("event_id").alias("seq"), F.when(dead, 2).otherwise(1).cast("tinyint").alias("op"), F.col("event_id").alias("lsn")
-    )
+        F.col("user_id").alias("key"), "value", F.when(~dead, payload).alias("payload"), dead.alias("is_tombstone"), F.col("event_id").alias("seq"),
+        F.when(dead, 2).otherwise(1).cast("tinyint").alias("op"), F.col("event_id").alias("lsn"),
+    )
 
 
 def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +57,13 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_log(spark, sf_dir)
     quarter = rows.agg((F.floor((F.max("lsn") + 4) / 4)).alias("__q"))
     cut = rows.join(F.broadcast(quarter)).withColumn("run", F.floor(F.col("lsn") / F.col("__q")).cast("long"))
-    return cut.groupBy("run", "key").agg(F.max_by("value", "lsn").alias("value"), F.max_by("is_tombstone", "lsn").alias("is_tombstone"), F.max("lsn").alias("seq"))
+    return cut.groupBy("run", "key").agg(F.max_by("value", "lsn").alias("value"), F.max_by("payload", "lsn").alias("payload"), F.max_by("is_tombstone", "lsn").alias("is_tombstone"), F.max("lsn").alias("seq"))
 
 
-_LOG = "log AS (SELECT user_id AS key, value, event_type = 'error' AS is_tombstone, event_id AS seq FROM events)"
+_LOG = "log AS (SELECT user_id AS key, value, CASE WHEN event_type <> 'error' THEN props || repeat('x', (event_id * 37 % 300)::INT) END AS payload, event_type = 'error' AS is_tombstone, event_id AS seq FROM events)"
 _NEWEST = f"WITH {_LOG}, newest AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
 _RUNS = f"""WITH {_LOG}, cut AS (SELECT *, seq // ((SELECT max(seq) + 4 FROM log) // 4) AS run FROM log),
-runs AS (SELECT run, key, value, is_tombstone, seq FROM cut QUALIFY row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) = 1)"""
+runs AS (SELECT run, key, value, payload, is_tombstone, seq FROM cut QUALIFY row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) = 1)"""
 
 
 # Versions.
@@ -123,18 +128,15 @@ def wal_replay_after_lsn(spark, sf_dir):
     return rest.select("lsn", "key").join(F.broadcast(rest.agg(F.count("*").alias("applied"))))
 
 
-@query(f"{_NEWEST} SELECT sum(length(key::VARCHAR) + length(value::VARCHAR) * 0 + 8 + 64)::BIGINT AS bytes FROM newest")
+@query(f"{_NEWEST} SELECT sum(strlen(key::VARCHAR) + coalesce(strlen(payload), 0) + 64)::BIGINT AS bytes FROM newest")
 def wal_memory(spark, sf_dir):
-    rows = event_log(spark, sf_dir).select("lsn", F.col("key").cast("string").alias("key"), F.unhex(F.lit("0000000000000000")).alias("value"))
-    return log.memory(rows)
+    return log.memory(event_log(spark, sf_dir).select("lsn", F.col("key").cast("string").alias("key"), F.col("payload").alias("value")))
 
 
-@query("""SELECT event_id AS lsn, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END::TINYINT AS op, user_id::VARCHAR AS key,
-  CASE WHEN event_type <> 'error' THEN props END AS value FROM events""")
+@query(f"WITH {_LOG} SELECT seq AS lsn, CASE WHEN is_tombstone THEN 2 ELSE 1 END::TINYINT AS op, key::VARCHAR AS key, payload AS value FROM log")
 def wal_codec(spark, sf_dir):
     """All mutations as binary records, and back."""
-    rows = event_log(spark, sf_dir).join(_table(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), "props"), "lsn")
-    rows = rows.select("lsn", "op", F.col("key").cast("string").alias("key"), F.when(F.col("op") == 1, F.col("props").cast("binary")).alias("value"))
+    rows = event_log(spark, sf_dir).select("lsn", "op", F.col("key").cast("string").alias("key"), F.col("payload").alias("value"))
     back = files.decode_records(files.encode_log(rows))
     return back.select("lsn", "op", "key", F.col("value").cast("string").alias("value"))
 
@@ -154,13 +156,17 @@ def flush_runs(spark, sf_dir):
     return event_runs(spark, sf_dir).select("run", "key", "value", "is_tombstone", "seq")
 
 
-_SIZED = "SELECT run, lpad(key::VARCHAR, 8, '0') AS key, 9 + 8 + 8 AS size FROM runs"
+_SIZED = "SELECT run, lpad(key::VARCHAR, 8, '0') AS key, 9 + 8 + coalesce(strlen(payload), 0) AS size FROM runs"
 
 
 @query(f"{_RUNS}, e AS ({_SIZED}) SELECT run, min(key) AS smallest_key, max(key) AS largest_key, count(*) AS entries, sum(size)::BIGINT AS encoded_bytes FROM e GROUP BY run")
 def sst_meta(spark, sf_dir):
-    rows = event_runs(spark, sf_dir).select("run", F.lpad(F.col("key").cast("string"), 8, "0").alias("key"), F.unhex(F.lit("0000000000000000")).alias("value"))
-    return merge.run_meta(rows)
+    return merge.run_meta(_named_runs(spark, sf_dir))
+
+
+def _named_runs(spark, sf_dir):
+    """The runs' entries with keys as strings of eight digits, and their payloads."""
+    return event_runs(spark, sf_dir).select("run", F.lpad(F.col("key").cast("string"), 8, "0").alias("key"), F.col("payload").alias("value"))
 
 
 @query(f"{_RUNS} SELECT key, value, is_tombstone FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY run DESC) = 1")
@@ -199,9 +205,29 @@ def level_bytes(spark, sf_dir):
     return catalogue.level_bytes(run_catalogue(spark, sf_dir))
 
 
-@query(f"{_CAT} SELECT coalesce(min(level) FILTER ({_DUE}), -1)::INT AS level FROM (SELECT level, count(*) AS files, sum(file_size_bytes) AS bytes FROM cat WHERE level > 0 GROUP BY level)")
+@query(f"{_CAT} SELECT coalesce(min(level) FILTER ({_DUE}), -1)::INT AS level FROM (SELECT level, count(*) AS files, sum(file_size_bytes) AS bytes FROM cat GROUP BY level)")
 def pick_compaction_level(spark, sf_dir):
-    return catalogue.pick_level(run_catalogue(spark, sf_dir).where("level > 0"))
+    """Level 0 has more than its four runs, so it is first."""
+    return catalogue.pick_level(run_catalogue(spark, sf_dir))
+
+
+@query(f"{_CAT} SELECT coalesce(min(level) FILTER ({_DUE}), -1)::INT AS level FROM (SELECT level, count(*) AS files, sum(file_size_bytes) AS bytes FROM cat WHERE level > 0 OR sequence_number <= 12 GROUP BY level)")
+def pick_compaction_level_by_bytes(spark, sf_dir):
+    """With three runs at level 0, the first level over its budget."""
+    return catalogue.pick_level(run_catalogue(spark, sf_dir).where("level > 0 or sequence_number <= 12"))
+
+
+@query(f"{_CAT} SELECT filepath, smallest_key, row_number() OVER (ORDER BY smallest_key)::INT AS place FROM cat WHERE level = 2")
+def files_at_level(spark, sf_dir):
+    found = catalogue.files_at(run_catalogue(spark, sf_dir), 2)
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place")  # a row for each run of a level; in the order as given
+    return found.select("filepath", "smallest_key", place)
+
+
+@query(f"""{_CAT}, src AS (SELECT * FROM cat WHERE level = 0)
+SELECT filepath, level FROM src UNION ALL SELECT filepath, level FROM cat c WHERE level = 1 AND EXISTS (SELECT 1 FROM src WHERE c.largest_key >= src.smallest_key AND c.smallest_key <= src.largest_key)""")
+def select_overlaps_of_level_0(spark, sf_dir):
+    return catalogue.select_files(run_catalogue(spark, sf_dir), 0).select("filepath", "level")
 
 
 @query("SELECT l::INT AS level, CASE WHEN l <= 0 THEN 0 ELSE (10485760 * 10 ** (l - 1))::BIGINT END::BIGINT AS max_bytes FROM range(0, 7) t(l)")
@@ -221,14 +247,19 @@ def remove_files(spark, sf_dir):
     return catalogue.remove_files(cat, cat.where("level = 0")).select("filepath")
 
 
-_PER_BLOCK = (folds.BLOCK_BYTES - folds.BLOCK_HEADER) // 25
-_BLOCKS = f"""{_RUNS}, e AS ({_SIZED}), b AS (SELECT *, ((row_number() OVER (PARTITION BY run ORDER BY key) - 1) // {_PER_BLOCK})::INT AS block FROM e),
-idx AS (SELECT run, block, min(key) AS first_key, max(key) AS last_key, (block * {4 + 25 * _PER_BLOCK})::BIGINT AS block_offset, (4 + sum(size))::BIGINT AS block_size, count(*) AS entries FROM b GROUP BY run, block)"""
+_BLOCKS = f"""{_RUNS.replace("WITH", "WITH RECURSIVE", 1)}, e AS ({_SIZED}), o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY key) AS i FROM e),
+pack AS (
+  SELECT run, i, key, size, 0 AS block, 4 + size AS used FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.run, o.i, o.key, o.size, CASE WHEN p.used + o.size > 4096 THEN p.block + 1 ELSE p.block END, CASE WHEN p.used + o.size > 4096 THEN 4 + o.size ELSE p.used + o.size END
+  FROM pack p JOIN o ON o.run = p.run AND o.i = p.i + 1
+), b AS (SELECT run, block::INT AS block, min(key) AS first_key, max(key) AS last_key, (4 + sum(size))::BIGINT AS block_size, count(*) AS entries FROM pack GROUP BY run, block),
+idx AS (SELECT run, block, first_key, last_key, (sum(block_size) OVER (PARTITION BY run ORDER BY block) - block_size)::BIGINT AS block_offset, block_size, entries FROM b)"""
 
 
 def _blocks(spark, sf_dir):
-    rows = event_runs(spark, sf_dir).select("run", F.lpad(F.col("key").cast("string"), 8, "0").alias("key"), F.lit(25).cast("long").alias("size"))
-    return folds.block_index(rows)
+    rows = _named_runs(spark, sf_dir)
+    return folds.block_index(rows.select("run", "key", text.encoded_size(F.col("key"), F.col("value")).alias("size")))
 
 
 @query(f"{_BLOCKS} SELECT * FROM idx")
@@ -321,10 +352,12 @@ def status_codes(spark, sf_dir):
     return spark.range(410).select(F.col("id").cast("int").alias("code"), errors.status_name(F.col("id")).alias("name"))
 
 
-@query("""SELECT DISTINCT source, CASE source WHEN 'src1' THEN 'standalone' ELSE 'standalone' END AS node_role, CASE (doc_id % 4)::INT WHEN 0 THEN 'Follower' WHEN 1 THEN 'Candidate' WHEN 2 THEN 'Leader' ELSE 'Unknown' END AS role
-FROM documents""")
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN 'router' WHEN 2 THEN 'shard' WHEN 3 THEN 'metadata' ELSE 'standalone' END AS node_role,
+CASE l_orderkey % 4 WHEN 0 THEN 'Follower' WHEN 1 THEN 'Candidate' WHEN 2 THEN 'Leader' ELSE 'Unknown' END AS role FROM lineitem""")
 def role_names(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("source", role_column(F.col("source")).alias("node_role"), text.role_name(F.pmod("doc_id", F.lit(4))).alias("role")).distinct()
+    """Known roles of nodes as they are, others as standalone; roles of consensus by number."""
+    written = F.get(F.array(*[F.lit(x) for x in ("router", "shard", "metadata", "Shard", "", "leader")]), F.col("l_linenumber") - 1)
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", role_column(written).alias("node_role"), text.role_name(F.pmod("l_orderkey", F.lit(4))).alias("role"))
 
 
 @query("SELECT event_id, user_id || ':' || event_id AS cache_key FROM events")
@@ -337,10 +370,12 @@ def random_ids(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", text.uuid4().alias("uuid"), text.short_id().alias("short_id"))
 
 
-@query("SELECT vec_id, 4 + 4 * len(embedding) AS bytes, true AS same FROM embeddings")
+@query("SELECT vec_id, (4 + 4 * len(embedding))::BIGINT AS bytes, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 9) AS total, embedding[64]::DOUBLE AS last FROM embeddings")
 def vector_codec(spark, sf_dir):
+    """All vectors as bytes, and back: what comes back is added up."""
     rows = codec.decode_vectors(codec.encode_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
-    return rows.select("vec_id", F.octet_length("encoded").cast("long").alias("bytes"), (F.col("decoded") == F.col("embedding")).alias("same"))
+    total = F.aggregate("decoded", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("vec_id", F.octet_length("encoded").cast("long").alias("bytes"), F.round(total, 9).alias("total"), F.get("decoded", F.lit(63)).cast("double").alias("last"))
 
 
 # Clocks, histories, caches.
@@ -365,7 +400,16 @@ def hlc_packed(spark, sf_dir):
     return rows.select("node", "seq", "packed", clocks.physical(F.col("packed")).alias("physical"), clocks.logical(F.col("packed")).alias("logical"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT event_type AS node, event_id AS seq, event_id % 3 = 0 AS got, epoch_us(ts) // 3600000000 AS p, epoch_us(ts) // 3600000000 + event_id % 5 - 2 AS rp, event_id % 7 AS rl FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq) AS i FROM e),
+h AS (
+  SELECT node, 0::BIGINT AS seq, 0::BIGINT AS phys, 0::BIGINT AS logical, 0::BIGINT AS i FROM (SELECT DISTINCT node FROM e)
+  UNION ALL
+  SELECT o.node, o.seq, CASE WHEN got THEN greatest(phys, rp, p) ELSE greatest(phys, p) END,
+    CASE WHEN NOT got AND p > phys OR got AND p > phys AND p > rp THEN 0 WHEN NOT got THEN logical + 1
+      ELSE 1 + greatest(CASE WHEN phys = greatest(phys, rp, p) THEN logical ELSE -1 END, CASE WHEN rp = greatest(phys, rp, p) THEN rl ELSE -1 END) END, o.i
+  FROM h JOIN o ON o.node = h.node AND o.i = h.i + 1
+) SELECT node, seq, phys, logical::INT AS logical FROM h WHERE i > 0""")
 def hlc_update(spark, sf_dir):
     rows = _hlc_events(spark, sf_dir)
     received = F.pmod("seq", F.lit(3)) == 0
@@ -379,12 +423,29 @@ def _raft_events(spark, sf_dir):
     return _table(spark, sf_dir, "events").select(F.concat(F.lit("node"), (F.pmod("user_id", F.lit(5))).cast("string")).alias("node"), F.col("event_id").alias("seq"), F.element_at(kinds, F.col("event_type")).alias("kind"), F.floor(F.col("event_id") / 10).cast("long").alias("term"), F.concat(F.lit("node"), F.pmod("event_id", F.lit(5)).cast("string")).alias("peer"))
 
 
-@query()
+_RAFT = """WITH RECURSIVE e AS (SELECT 'node' || (user_id % 5) AS node, event_id AS seq, event_id // 10 AS t, 'node' || (event_id % 5) AS peer,
+  CASE event_type WHEN 'signup' THEN 'load' WHEN 'purchase' THEN 'candidate' WHEN 'view' THEN 'leader' WHEN 'click' THEN 'vote' ELSE 'stepdown' END AS kind FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY seq) AS i FROM e),
+f AS (
+  SELECT node, 0::BIGINT AS i, 0::BIGINT AS seq, '' AS kind, '' AS status, false AS told, 'Follower' AS role, 0::BIGINT AS term, '' AS vote, '' AS leader FROM (SELECT DISTINCT node FROM e)
+  UNION ALL
+  SELECT node, i, seq, kind, CASE WHEN done THEN 'OK' WHEN kind = 'vote' THEN 'AlreadyExists' ELSE 'InvalidArgument' END, done AND (kind IN ('candidate', 'leader') OR kind = 'stepdown' AND role <> 'Follower'),
+    CASE WHEN NOT done OR kind IN ('vote', 'load') THEN role WHEN kind = 'candidate' THEN 'Candidate' WHEN kind = 'leader' THEN 'Leader' ELSE 'Follower' END,
+    CASE WHEN NOT done OR kind IN ('vote', 'leader') THEN term WHEN kind = 'candidate' THEN term + 1 ELSE t END,
+    CASE WHEN NOT done OR kind = 'leader' THEN vote WHEN kind = 'candidate' THEN node WHEN kind = 'stepdown' THEN CASE WHEN t > term THEN '' ELSE vote END ELSE peer END,
+    CASE WHEN NOT done OR kind IN ('vote', 'load') THEN leader WHEN kind = 'candidate' THEN '' WHEN kind = 'leader' THEN node ELSE peer END
+  FROM (SELECT o.*, f.role, f.term, f.vote, f.leader,
+      CASE o.kind WHEN 'candidate' THEN f.role <> 'Leader' WHEN 'leader' THEN f.role = 'Candidate' WHEN 'stepdown' THEN o.t >= f.term WHEN 'vote' THEN f.vote IN ('', o.peer) ELSE true END AS done
+    FROM f JOIN o ON o.node = f.node AND o.i = f.i + 1)
+), raft AS (SELECT node, seq, kind, status, told, role, term, vote AS voted_for, leader AS leader_id FROM f WHERE i > 0)"""
+
+
+@query(f"{_RAFT} SELECT * FROM raft")
 def raft_fold(spark, sf_dir):
     return folds.raft_history(_raft_events(spark, sf_dir))
 
 
-@query()
+@query(f"{_RAFT} SELECT term, count(DISTINCT node) AS leaders FROM raft WHERE role = 'Leader' GROUP BY term HAVING count(DISTINCT node) > 1")
 def raft_double_leaders(spark, sf_dir):
     return routing.double_leaders(folds.raft_history(_raft_events(spark, sf_dir)))
 
@@ -396,7 +457,16 @@ def raft_commit_index(spark, sf_dir):
     return routing.commit_index(rows)
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT (user_id % 4)::INT AS shard, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op, user_id::VARCHAR AS key,
+  row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) AS i FROM events),
+f AS (
+  SELECT DISTINCT shard, 0::BIGINT AS i, 0::BIGINT AS seq, '' AS op, '' AS key, false AS hit, 0::BIGINT AS evicted, []::VARCHAR[] AS held FROM o
+  UNION ALL
+  SELECT shard, i, seq, op, key, op = 'get' AND present, gone, moved[gone + 1 :]
+  FROM (SELECT *, list_filter(range(0, len(moved) + 1), lambda g: coalesce(list_sum(list_transform(moved[g + 1 :], lambda k: strlen(k) + 4096)), 0) <= 65536)[1] AS gone
+    FROM (SELECT o.*, list_contains(f.held, o.key) AS present, CASE WHEN o.op = 'put' OR list_contains(f.held, o.key) THEN list_append(list_filter(f.held, lambda k: k <> o.key), o.key) ELSE f.held END AS moved
+      FROM f JOIN o ON o.shard = f.shard AND o.i = f.i + 1))
+) SELECT shard, seq, op, key, hit, evicted::INT AS evicted, coalesce(list_sum(list_transform(held, lambda k: strlen(k) + 4096)), 0)::BIGINT AS used FROM f WHERE i > 0""")
 def lru_trace(spark, sf_dir):
     op = F.when(F.pmod("event_id", F.lit(3)) == 0, "put").otherwise("get")
     rows = _table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(4)).cast("int").alias("shard"), F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").cast("string").alias("key"), F.lit(4096).cast("long").alias("bytes"))
@@ -424,13 +494,126 @@ def metric_histogram(spark, sf_dir):
     return metrics.histogram(_table(spark, sf_dir, "events"), ["event_type"], _BOUNDS).withColumn("sum", F.round("sum", 4))
 
 
-# Streams.
-@query(f"{_NEWEST} SELECT key, value FROM newest WHERE NOT is_tombstone")
+# The table itself, in the shared folder: key and value are strings and bytes there.
+_tables: dict[tuple[str, str], str] = {}
+
+
+def _mutations(spark, sf_dir):
+    return event_log(spark, sf_dir).select("op", F.col("key").cast("string").alias("key"), F.col("payload").alias("value"), "seq")
+
+
+def _quarters(spark, sf_dir) -> str:
+    """A table to which the events came in four batches, each flushed; made once for a session, and only read by queries."""
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _tables:
+        rows = _mutations(spark, sf_dir)
+        quarter = rows.agg(F.floor((F.max("seq") + 4) / 4).alias("q")).first()["q"]
+        path = scratch.fresh(spark, "table")
+        table = KvTable.open(spark, path)
+        for run in range(4):
+            table.append(rows.where(F.floor(F.col("seq") / quarter) == run))
+            table.flush()
+        _tables[made] = path
+    return _tables[made]
+
+
+def _text(found: DataFrame) -> DataFrame:
+    return found.select("key", F.col("value").cast("string").alias("value"))
+
+
+_NEWEST_TEXT = f"{_NEWEST} SELECT key::VARCHAR AS key, payload AS value FROM newest WHERE NOT is_tombstone"
+
+
+@query(_NEWEST_TEXT)
+def table_scan(spark, sf_dir):
+    """Four flushed runs, read after opening the table again."""
+    return _text(KvTable.open(spark, _quarters(spark, sf_dir)).scan())
+
+
+@query(f"{_NEWEST_TEXT} AND key::VARCHAR BETWEEN '2' AND '35'")
+def table_range(spark, sf_dir):
+    return _text(KvTable.open(spark, _quarters(spark, sf_dir)).range("2", "35"))
+
+
+@query(f"{_NEWEST_TEXT} AND key::VARCHAR LIKE '12%'")
+def table_prefix(spark, sf_dir):
+    return _text(KvTable.open(spark, _quarters(spark, sf_dir)).prefix("12"))
+
+
+@query(f"{_RUNS} SELECT run + 1 AS sequence_number, 0 AS level, min(key::VARCHAR) AS smallest_key, max(key::VARCHAR) AS largest_key FROM runs GROUP BY run")
+def table_checkpoint(spark, sf_dir):
+    return KvTable.open(spark, _quarters(spark, sf_dir)).checkpoint().select("sequence_number", "level", "smallest_key", "largest_key")
+
+
+@query(_NEWEST_TEXT.replace("payload AS value", "payload || '!' AS value"))
+def table_merged(spark, sf_dir):
+    """Three flushed runs and a fourth, with what was written over it still in the log; the due level is merged, the table opened again."""
+    rows = _mutations(spark, sf_dir)
+    path = scratch.fresh(spark, "table")
+    table = KvTable.open(spark, path, levels=2)
+    for run in range(4):
+        table.append(rows.where(F.pmod("seq", F.lit(4)) <= run))  # every mutation comes again with those after it
+        table.flush()
+    table.append(rows.withColumn("value", F.concat("value", F.lit(b"!"))))
+    table.compact()
+    return _text(KvTable.open(spark, path, levels=2).scan())
+
+
+@query(f"""{_RUNS}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY run DESC) AS n FROM runs)
+SELECT 0 AS source_level, 1 AS target_level, 4::BIGINT AS files_read, 1::BIGINT AS files_written, count(*) AS keys_merged, count_if(n > 1)::BIGINT AS duplicate_keys_dropped,
+  count_if(n = 1 AND is_tombstone)::BIGINT AS tombstones_dropped FROM r""")
+def table_compaction(spark, sf_dir):
+    """Counts of the merge of four runs into the bottom level."""
+    path = scratch.fresh(spark, "table")
+    rows = _mutations(spark, sf_dir)
+    quarter = rows.agg(F.floor((F.max("seq") + 4) / 4).alias("q")).first()["q"]
+    table = KvTable.open(spark, path, levels=2)
+    for run in range(4):
+        table.append(rows.where(F.floor(F.col("seq") / quarter) == run))
+        table.flush()
+    out = table.compact()
+    columns = [c.strip() for c in MERGE_STATS.split(",")]
+    stats = spark.createDataFrame([tuple(out[c.split()[0]] for c in columns)], MERGE_STATS)
+    return stats.select("source_level", "target_level", "files_read", "files_written", "keys_merged", "duplicate_keys_dropped", "tombstones_dropped")
+
+
+@query("""WITH half AS (SELECT max(event_id) // 2 AS h, max(event_id) + 1 AS n FROM events)
+SELECT n AS last_lsn, h + 1 AS last_flushed_lsn, n - h - 1 AS replayed, (SELECT count(DISTINCT user_id) FROM events WHERE event_id > h) AS keys FROM half""")
+def table_recovery(spark, sf_dir):
+    """Half of the events flushed, the rest only logged; what opening the table again replays."""
+    path = scratch.fresh(spark, "table")
+    rows = _mutations(spark, sf_dir)
+    half = rows.agg(F.floor(F.max("seq") / 2).alias("h")).first()["h"]
+    table = KvTable.open(spark, path)
+    table.append(rows.where(F.col("seq") <= half))
+    table.flush()
+    table.append(rows.where(F.col("seq") > half))
+    again = KvTable.open(spark, path)
+    rest = again.unflushed().agg(F.count("*").alias("replayed"), F.count_distinct("key").alias("keys"))
+    return rest.select(F.lit(again.manifest.next_lsn - 1).cast("long").alias("last_lsn"), F.lit(again.manifest.last_flushed_lsn).cast("long").alias("last_flushed_lsn"), "replayed", "keys")
+
+
+@query(_NEWEST_TEXT)
 def stream_latest(spark, sf_dir):
+    """The events as a stream into a table, batch by batch."""
     from ..streaming import ingest
 
-    path = f"{sf_dir}/events.parquet"
-    e = ingest.read_files(spark, sf_dir, spark.read.parquet(path).schema, glob="events.parquet")
+    e = ingest.read_files(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, glob="events.parquet")
+    dead = F.col("event_type") == "error"
+    payload = F.concat("props", F.expr("repeat('x', cast(event_id * 37 % 300 as int))")).cast("binary")
+    rows = e.select(F.when(dead, 2).otherwise(1).cast("tinyint").alias("op"), F.col("user_id").cast("string").alias("key"), F.when(~dead, payload).alias("value"), F.col("event_id").alias("seq"))
+    path = scratch.fresh(spark, "stream")
+    table = KvTable.open(spark, f"{path}/table")
+    ingest.into_table(rows, table, f"{path}/checkpoint").awaitTermination()
+    return _text(table.scan())
+
+
+@query(f"{_NEWEST} SELECT key, value FROM newest WHERE NOT is_tombstone")
+def stream_aggregate(spark, sf_dir):
+    """The newest versions as a streaming aggregation."""
+    from ..streaming import ingest
+
+    e = ingest.read_files(spark, sf_dir, spark.read.parquet(f"{sf_dir}/events.parquet").schema, glob="events.parquet")
     dead = F.col("event_type") == "error"
     found = ingest.latest_of_stream(e.select(F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), "value", dead.alias("is_tombstone")))
     return ingest.run_to_memory(found, "kelpstone_latest").where(~F.col("is_tombstone")).select("key", "value")
@@ -508,6 +691,17 @@ def hnsw_search(spark, sf_dir):
     return ann.Hnsw.build(base, scratch.fresh(spark, "graphs")).search(wanted, 10)
 
 
+@query("SELECT unnest(['hnsw', 'ivf', 'lsh', 'pq']) AS index, 10 * count(*) AS wanted, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def ann_recall(spark, sf_dir):
+    """Whether each approximate index finds nine of ten exact neighbours of the stated queries."""
+    exact = knn_l2(spark, sf_dir).select("query_id", "vec_id")
+    out = None
+    for name, search in (("hnsw", hnsw_search), ("ivf", ivf_search), ("lsh", lsh_search), ("pq", pq_search)):
+        found = ann.recall(search(spark, sf_dir), exact).select(F.lit(name).alias("index"), "wanted", (F.col("recall") >= 0.9).alias("enough"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def routing_offers(spark, sf_dir):
     """For each query and shard what a router knows: from embeddings, and from events as requests."""
     base = _table(spark, sf_dir, "embeddings").withColumn("shard", hashing.shard(F.col("vec_id").cast("string"), 4))
@@ -531,6 +725,6 @@ def route_shard(spark, sf_dir):
 #: Queries that the benchmark times.
 HEADLINE = [
     "kv_latest", "kv_multi_get", "kv_scan_range", "kv_as_of_lsn", "wal_valid_prefix", "compact_bottom", "compaction_stats", "block_pack", "bloom_fpr", "fnv1a64_shard", "hlc_now", "raft_fold",
-    "metric_histogram", "knn_l2", "knn_batched", "shard_topk_merge", "hnsw_search",
+    "metric_histogram", "knn_l2", "knn_batched", "shard_topk_merge", "hnsw_search", "pq_search", "ivf_search", "hlc_update", "lru_trace", "wal_codec",
 ]
 assert math.isclose(bloom.bits_for(1000, 10), 10000)

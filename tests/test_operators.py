@@ -97,7 +97,27 @@ def test_blocks(spark):
     assert len(got) == 3 and sum(r.entries for r in got) == 500 and got[0].block_offset == 0
     probes = spark.createDataFrame([("r", "key_000"), ("r", got[0].last_key), ("r", got[1].first_key), ("r", "zzz")], "run string, key string")
     assert {r.key: r.block for r in folds.find_block(probes, index).collect()} == {"key_000": 0, got[0].last_key: 0, got[1].first_key: 1, "zzz": None}
-    assert folds.pack_blocks([5000, 10, 10]) == [0, 1, 1]
+    import pandas as pd
+
+    packer = folds.Blocks("r")
+    rows = packer.feed(pd.DataFrame({"key": ["a", "b", "c"], "size": [5000, 10, 10]})) + packer.end()
+    assert rows == [("r", 0, "a", "a", 0, 5004, 1), ("r", 1, "b", "c", 5004, 24, 2)]
+
+
+def test_folds_carry_their_state_over_batches(spark):
+    """Histories longer than a batch, and many in one partition, give what a walk over all rows gives."""
+    rnd = random.Random(3)
+    rows = [(f"n{i % 3}", i, rnd.choice(["now", "update"]), rnd.randint(0, 300), rnd.randint(0, 300), rnd.randint(0, 3)) for i in range(900)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        out = {(r.node, r.seq): (r.phys, r.logical) for r in folds.hlc_update(spark.createDataFrame(rows, HLC_EVENT).repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    state = {}
+    for node, seq, kind, now, phys, logical in rows:
+        state[node] = folds.hlc_step(state.get(node, (0, 0)), kind, now, (phys, logical))
+        assert out[(node, seq)] == state[node]
 
 
 def test_hlc(spark):

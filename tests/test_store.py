@@ -186,7 +186,7 @@ def test_entry_points_work_without_the_text_part(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
-@pytest.mark.parametrize("name", ["kv_latest", "compaction_stats", "block_index_lookup", "knn_l2", "hlc_now", "bloom_fpr"])
+@pytest.mark.parametrize("name", ["kv_latest", "compaction_stats", "block_index_lookup", "knn_l2", "hlc_now", "hlc_update", "raft_fold", "lru_trace", "bloom_fpr", "table_merged", "table_compaction", "table_recovery", "stream_latest", "ann_recall"])
 def test_queries_equal_their_sql(spark, name):
     import os
 
