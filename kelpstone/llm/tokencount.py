@@ -17,7 +17,7 @@ null text: as an empty one. Empty text: one empty section with no tokens (line
 sections), or what the given sections say, with no tokens. Sections may
 overlap, leave gaps, be empty or reach over the end (they are cut to it).
 Repeated ids and rows: each row is counted by itself. Documents without given
-sections don't appear. Extra columns are dropped. Empty tables give an empty
+sections don't appear, so none with a null ``doc_id``, which no section can name. Extra columns are dropped. Empty tables give an empty
 result. A text of any length is encoded whole.
 """
 

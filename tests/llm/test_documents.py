@@ -149,6 +149,38 @@ def test_digest_of_next(docs):
     assert got == expected
 
 
+def plain_digest(data):
+    """The digest by its definition, one triplet at a time."""
+    counts = [0] * 256
+    for number, (_, j, k) in enumerate([(0, 4, 9), (0, 7, 15), (0, 11, 13), (0, 5, 17), (0, 13, 23), (0, 6, 19)]):
+        for i in range(len(data)):
+            a, b, c = (data[x] if x < len(data) else 0 for x in (i, i + j, i + k))
+            h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D + number * 0x27D4EB2F) % 2**32
+            h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+            counts[h >> 24] += 1
+    ordered = sorted(counts)
+    codes = [(n > ordered[63]) + (n > ordered[127]) + (n > ordered[191]) for n in counts]
+    length = 1 + round(np.log(len(data)) / np.log(1.1)) if data else 0
+    packed = "".join(f"{codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3]:02x}" for i in range(0, 256, 4))
+    return length, codes, f"{length:04x}{packed}"
+
+
+def plain_likeness(a, b):
+    most = sum(map(max, a[1], b[1]))
+    apart = sum(abs(x - y) for x, y in zip(a[1], b[1], strict=True)) / most if most else float(a[0] != b[0])
+    return max(0.0, 1 - apart - 0.02 * max(0, abs(a[0] - b[0]) - 4))
+
+
+def test_the_digest_is_that_of_its_definition():
+    rnd = random.Random(11)
+    texts = ["", "a", "é日", "some words of a text", *(" ".join(rnd.choice(VOCABULARY) for _ in range(n)) for n in (30, 200, 210))]
+    made = [plain_digest(t.encode()) for t in texts]
+    assert [digest.to_text(*digest.digest(t.encode())) for t in texts] == [m[2] for m in made]
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert digest.likeness(digest.digest(a.encode()), digest.digest(b.encode())) == pytest.approx(plain_likeness(made[i], made[j]))
+
+
 def test_digest_round_trip_and_bounds():
     rnd = random.Random(1)
     data = [bytes(rnd.randrange(97, 123) for _ in range(n)) for n in (0, 1, 2, 24, 500, 300_000)]
@@ -301,6 +333,8 @@ def test_token_counts(docs, spark):
             assert r.tokens == sum(low <= (s if rule == "start" else e - 1) < high for s, e in all_spans)
             assert r.token_share == pytest.approx(sum(max(0, min(e, high) - max(s, low)) / (e - s) for s, e in all_spans))
             assert r.crossing == (sum(s < low < e or s < high < e for s, e in all_spans) if high > low else 0)
+    nameless = spark.createDataFrame([(None, 1, 0, 5), (3, 1, 0, 5)], "doc_id long, section long, start long, end long")
+    assert {r.doc_id for r in tokencount.attribute(docs, BYTES, public_tokenizers.PATTERN, nameless).collect()} == {3}  # a null id has no sections
     per_line = tokencount.attribute(docs, BYTES, public_tokenizers.PATTERN).where("doc_id is not null and doc_id not in (5, 7)")
     sums = per_line.groupBy("doc_id").sum("tokens", "token_share", "doc_tokens").join(per_line.groupBy("doc_id").max("doc_tokens"), "doc_id").collect()
     assert all(r[1] == r[4] and r[2] == pytest.approx(r[4]) for r in sums)
@@ -500,11 +534,90 @@ def test_signatures_agree_as_sets_do():
     assert abs(np.mean(equal) - 0.8**neardup.ROWS) < 0.12
 
 
-def test_pipeline_stages_follow_one_another(spark, docs, tmp_path):
+def made_corpus(rnd):
+    """Documents of which the quality rules keep most: prose, furniture that many sites share, near copies, junk, long and short ones."""
+    sentence = lambda n: " ".join(rnd.choice(VOCABULARY) + str(rnd.randint(0, 400)) for _ in range(n)) + "."
+    furniture = [f"Here is line {k} that each of the sites shows on its pages." for k in range(3)]
+    rows = []
+    for i in range(70):
+        lines = [sentence(rnd.randint(14, 40)) for _ in range(rnd.randint(2, 9))]
+        if i % 3 == 0:
+            lines.insert(1, furniture[i % 9 // 3])
+        rows.append((i, "\n".join(lines), "en", f"site{i % 8}", 0))
+    for k in range(12):
+        words_of = rows[k][1].split(" ")
+        words_of[len(words_of) // 2] = "altered7"
+        rows.append((100 + k, " ".join(words_of), "en", f"site{k % 8}", 0))
+    rows += [(200, "too short", "en", "site1", 0), (201, None, "en", "site1", 0), (202, rows[5][1], "en", None, 0), (203, "$$$ ### " * 40, "en", "site2", 0), (204, " ".join(["same words again and again and again now"] * 9), "en", "site3", 0)]
+    return [(i, t, lang, s, None if t is None else len(t)) for i, t, lang, s, _ in rows]
+
+
+def test_pipeline_stages_are_those_of_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = made_corpus(random.Random(77))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    tables, now = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        tables[name] = now.collect()
+    assert list(tables) == ["quality_rules", "line_dedup", "near_dedup", "source_mixing", "packing"]
+
+    kept = {r.doc_id: r for r in tables["quality_rules"]}
+    assert set(kept) == {r[0] for r in rows} - {200, 201, 203, 204} and all(kept[i].text == dict((r[0], r[1]) for r in rows)[i] for i in kept)
+
+    sites = defaultdict(set)
+    for r in kept.values():
+        for line in r.text.split("\n"):
+            sites[line].add(r.source)
+    cut = {i: "\n".join(x for x in r.text.split("\n") if len(sites[x]) < 5) for i, r in kept.items()}
+    assert {r.doc_id: (r.text, r.n_chars) for r in tables["line_dedup"]} == {i: (t, len(t)) for i, t in cut.items()} and cut != {i: r.text for i, r in kept.items()}
+
+    ids = sorted(cut)
+    sets, up = weighted([cut[i] for i in ids]), list(range(len(ids)))
+
+    def top(i):
+        return i if up[i] == i else top(up[i])
+
+    for i in range(len(ids)):
+        for j in range(i):
+            common = sum(min(w, sets[j][x]) for x, w in sets[i].items() if x in sets[j])
+            if common >= 0.8 * (sum(sets[i].values()) + sum(sets[j].values()) - common):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    assert Counter(r.doc_id for r in tables["near_dedup"]) == Counter({ids[top(i)] for i in range(len(ids))}) and len(tables["near_dedup"]) < len(ids) - 5
+
+    size = Counter()
+    for r in tables["near_dedup"]:
+        size[r.source] += len(words(r.text))
+    order = sorted(size, key=lambda s: (s is None, s))
+    wanted = dict(zip(order, filled([size[s] for s in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    taken, times = Counter(), Counter(r.doc_id for r in tables["source_mixing"])
+    for r in tables["source_mixing"]:
+        taken[r.source] += len(words(r.text))
+    assert max(times.values()) <= 3 and all(abs(taken[s] - wanted[s]) <= 5 for s in order)
+
+    plain, pieces, sequences = Tokenizer.from_file(WORD), Counter(), defaultdict(list)
+    for r in tables["source_mixing"]:
+        data = np.array([*plain.encode(r.text, add_special_tokens=False).ids, 1], "<u4")
+        for at in range(0, len(data), 2048):
+            pieces[(r.doc_id, at, min(2048, len(data) - at), zlib.crc32(data[at : at + 2048].tobytes()))] += 1
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in tables["packing"]) == pieces
+    for r in tables["packing"]:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for places in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(places))]
+        assert [o for o, _ in sorted(places)] == ends[:-1] and ends[-1] <= 2048
+    assert sum(n for *_, n in [(0, k[2] * v) for k, v in pieces.items()]) >= 0.9 * 2048 * (len(sequences) - 1)
+    assert Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter(tuple(r) for r in tables["packing"])
+
+
+def test_pipeline_takes_awkward_rows(spark, docs, tmp_path):
     import corpus_pipeline
 
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     kept = {r.doc_id for r in quality.clean(docs).select("doc_id").collect()}
-    out = corpus_pipeline.run(spark, str(tmp_path))
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "source_mixing", "packing"]
-    assert {r.doc_id for r in out.collect()} <= kept
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} <= kept
