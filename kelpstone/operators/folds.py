@@ -247,14 +247,24 @@ def block_index(entries: DataFrame, run: str = "run", limit: int = BLOCK_BYTES)
     return fold(entries.select(run, "key", "size"), run, "key", schema, lambda name: Blocks(name, limit))
 
 
+#: Blocks of a run that are searched together.
+CHUNK_BLOCKS = 64
+
+
 def find_block(keys: DataFrame, index: DataFrame, run: str = "run", key: str = "key") -> DataFrame:
     """For each (run, key) the first block of the run whose last key isn't smaller, or nulls.
 
-    An as-of lookup without a range join: probes and last keys of a run are sorted together, and each probe takes the next index row.
+    An as-of lookup without a range join: probes and last keys are sorted together, and each probe takes the next index row. A run's index is cut into
+    chunks of blocks first (their last keys, some hundreds for a run, are joined to the probes), so that the probes of one run are searched in many tasks.
     """
     fields = [c for c in index.columns if c != run]
-    probes = keys.select(run, F.col(key).alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast(index.select(F.struct(*fields)).schema[0].dataType).alias("__block"))
-    ends = index.select(run, F.col("last_key").alias("__at"), F.lit(1).alias("__kind"), F.struct(*fields).alias("__block"))
-    ahead = Window.partitionBy(run).orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    found = probes.unionByName(ends).withColumn("__next", F.first("__block", ignorenulls=True).over(ahead))
+    chunk = F.floor(F.col("block") / CHUNK_BLOCKS).cast("int")
+    chunked = index.withColumn("__chunk", chunk)
+    ends = chunked.groupBy(run, "__chunk").agg(F.max("last_key").alias("__end")).groupBy(run).agg(F.collect_list("__end").alias("__ends"))
+    passed = F.coalesce(F.size(F.filter("__ends", lambda e: e < F.col("__at"))), F.lit(-1))
+    none = F.lit(None).cast(index.select(F.struct(*fields)).schema[0].dataType).alias("__block")
+    probes = keys.select(run, F.col(key).alias("__at")).join(ends, run, "left").select(run, passed.alias("__chunk"), "__at", F.lit(0).alias("__kind"), none)
+    known = chunked.select(run, "__chunk", F.col("last_key").alias("__at"), F.lit(1).alias("__kind"), F.struct(*fields).alias("__block"))
+    ahead = Window.partitionBy(run, "__chunk").orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
+    found = probes.unionByName(known).withColumn("__next", F.first("__block", ignorenulls=True).over(ahead))
     return found.where("__kind = 0").select(run, F.col("__at").alias(key), "__next.*")

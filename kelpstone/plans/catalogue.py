@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -241,6 +242,15 @@ def select_overlaps(spark, sf_dir):
     return catalogue.select_files(run_catalogue(spark, sf_dir), 1).select("filepath", "level")
 
 
+@query(f"{_CAT} SELECT filepath, level FROM cat WHERE level <> 3 UNION ALL SELECT filepath || '.new', 4 FROM cat WHERE level = 3")
+def add_files(spark, sf_dir):
+    """What a merge does to a catalogue: the runs of level 3 go, their successors at level 4 come."""
+    cat = run_catalogue(spark, sf_dir)
+    old = cat.where("level = 3")
+    new = old.withColumns({"filepath": F.concat("filepath", F.lit(".new")), "level": F.lit(4)})
+    return catalogue.add_file(catalogue.remove_files(cat, old), new).select("filepath", "level")
+
+
 @query(f"{_CAT} SELECT filepath FROM cat WHERE filepath NOT IN (SELECT filepath FROM cat WHERE level = 0)")
 def remove_files(spark, sf_dir):
     cat = run_catalogue(spark, sf_dir)
@@ -275,6 +285,24 @@ def block_index_lookup(spark, sf_dir):
     return folds.find_block(probes, index).select("run", "key", "block", "block_offset", "block_size")
 
 
+@query(f"{_BLOCKS}, v AS (SELECT run, lpad(key::VARCHAR, 8, '0') AS key, payload AS value, is_tombstone FROM runs) SELECT x.run, x.block, v.key, coalesce(v.value, '') AS value, v.is_tombstone FROM v JOIN idx x ON v.run = x.run AND v.key BETWEEN x.first_key AND x.last_key")
+def block_codec(spark, sf_dir):
+    """All entries packed into blocks, as bytes, and back."""
+    rows = event_runs(spark, sf_dir).select("run", F.lpad(F.col("key").cast("string"), 8, "0").alias("key"), F.col("payload").alias("value"), "is_tombstone")
+    at = folds.find_block(rows.select("run", "key"), _blocks(spark, sf_dir)).select("run", "key", "block")
+    packed = rows.join(at, ["run", "key"]).groupBy("run", "block").agg(F.sort_array(F.collect_list(F.struct("key", "value", "is_tombstone"))).alias("entries"))  # a block is 4 KB
+
+    def there_and_back(batches):
+        for batch in batches:
+            out = []
+            for run, block, entries in zip(batch["run"], batch["block"], batch["entries"], strict=True):
+                data = codec.encode_block((e["key"], e["value"], e["is_tombstone"]) for e in entries)
+                out += [(run, block, key, value.decode(), dead) for key, value, dead in codec.decode_block(data)]
+            yield pd.DataFrame(out, columns=["run", "block", "key", "value", "is_tombstone"])
+
+    return packed.mapInPandas(there_and_back, "run long, block int, key string, value string, is_tombstone boolean")
+
+
 # Hashes, filters, strings, names.
 _BYTES = "list_transform(range(1, length({0}) + 1), lambda i: ord({0}[i]))"
 _FNV32 = "list_reduce(list_prepend({1}::HUGEINT, " + _BYTES + "), lambda h, x: (xor(h, x::HUGEINT) * 16777619) % 4294967296)"
@@ -593,6 +621,38 @@ def table_recovery(spark, sf_dir):
     return rest.select(F.lit(again.manifest.next_lsn - 1).cast("long").alias("last_lsn"), F.lit(again.manifest.last_flushed_lsn).cast("long").alias("last_flushed_lsn"), "replayed", "keys")
 
 
+@query(f"WITH {_LOG} SELECT seq AS lsn, CASE WHEN is_tombstone THEN 2 ELSE 1 END::TINYINT AS op, key::VARCHAR AS key, payload AS value FROM log WHERE seq > 0")
+def wal_file(spark, sf_dir):
+    """The events as one binary log file with a torn end, read back."""
+    path = scratch.fresh(spark, "log")
+    rows = event_log(spark, sf_dir).where("lsn > 0").select("lsn", "op", F.col("key").cast("string").alias("key"), F.col("payload").alias("value"))
+    files.write_log_file(rows, f"{path}/whole.log")
+    files.write_text(spark, f"{path}/torn.log", "\x00\x00\x00\x15 no record")
+    return files.read_log_files(spark, path).select("lsn", "op", "key", F.col("value").cast("string").alias("value"))
+
+
+@query("SELECT count(*) AS last_lsn, 2::BIGINT AS batches, (SELECT count(DISTINCT user_id) FROM events) AS keys FROM events")
+def table_exactly_once(spark, sf_dir):
+    """Two batches of a stream, each delivered twice."""
+    table, rows = KvTable.open(spark, scratch.fresh(spark, "table")), _mutations(spark, sf_dir)
+    for number in range(2):
+        part = rows.where(F.pmod("seq", F.lit(2)) == number)
+        last = [table.append(part, ("events", number)) for _ in range(2)]
+        assert last[0] == last[1]
+    keys = table.scan_with_tombstones().agg(F.count("*").alias("keys"))
+    return keys.select(F.lit(table.manifest.next_lsn - 1).cast("long").alias("last_lsn"), F.lit(len(table.manifest.batches)).cast("long").alias("batches"), "keys")
+
+
+@query(f"{_NEWEST} SELECT true AS flushed, count_if(NOT is_tombstone)::BIGINT AS keys, 0::BIGINT AS unflushed FROM newest")
+def table_threshold(spark, sf_dir):
+    """A memory of some bytes: every append goes into a run at once, closing leaves nothing."""
+    path = scratch.fresh(spark, "table")
+    with KvTable.open(spark, path, memtable_bytes=100) as table:
+        table.append(_mutations(spark, sf_dir))
+    again = KvTable.open(spark, path)
+    return again.scan().agg(F.count("*").alias("keys")).select(F.lit(table.flushes > 0).alias("flushed"), "keys", F.lit(again.unflushed().count()).cast("long").alias("unflushed"))
+
+
 @query(_NEWEST_TEXT)
 def stream_latest(spark, sf_dir):
     """The events as a stream into a table, batch by batch."""

@@ -76,6 +76,22 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength()
 
 
+def write_log_file(log: DataFrame, path: str, buffered: int = 1 << 20) -> int:
+    """One binary log of all mutations in order, for a reader of such logs; it is a single stream, so the driver passes it on, ``buffered`` bytes at a time. Returns its bytes."""
+    fs, where, _ = _at(log.sparkSession, path)
+    out, held, size = fs.create(where, False), bytearray(), 0
+    try:
+        for row in encode_log(log).select("lsn", "record").orderBy("lsn").select("record").toLocalIterator():
+            held += row["record"]
+            if len(held) >= buffered:
+                out.write(held)
+                size, held = size + len(held), bytearray()
+        out.write(held)
+    finally:
+        out.close()
+    return size + len(held)
+
+
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
     """Binary logs as mutations: of each file, the valid beginning. Keys keep their bytes, whatever they are."""
 

@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +56,12 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _open.reset(token)
         for path in held:
             files.delete(spark, path)
+
+
+def settled(spark: SparkSession, what: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, written and read back; the tables that it wrote on its way are deleted."""
+    path = fresh(spark, what)
+    with scope(spark):
+        made = make()
+        made.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)

@@ -104,6 +104,16 @@ def test_blocks(spark):
     assert rows == [("r", 0, "a", "a", 0, 5004, 1), ("r", 1, "b", "c", 5004, 24, 2)]
 
 
+def test_blocks_are_found_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(folds, "CHUNK_BLOCKS", 3)
+    rows = [(r, f"key_{i:04d}", 400) for r in "ab" for i in range(0, 300, 2)]
+    index = folds.block_index(spark.createDataFrame(rows, "run string, key string, size long")).cache()
+    probes = [(r, f"key_{i:04d}") for r in "abc" for i in range(0, 310, 3)]
+    out = {(r.run, r.key): r.block for r in folds.find_block(spark.createDataFrame(probes, "run string, key string"), index).collect()}
+    known = index.collect()
+    assert len(known) > 20 and out == {(r, k): min((x.block for x in known if x.run == r and x.last_key >= k), default=None) for r, k in probes}
+
+
 def test_folds_carry_their_state_over_batches(spark):
     """Histories longer than a batch, and many in one partition, give what a walk over all rows gives."""
     rnd = random.Random(3)
