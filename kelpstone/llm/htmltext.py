@@ -100,6 +100,8 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 MIN_PAGES, MIN_SHARE = 5, 0.1
 #: Template hashes up to which their list (8 bytes each) is broadcast.
 BROADCAST_HASHES = 500_000
+#: Parts into which a host's pages are dealt where they are joined to its templates.
+SALTS = 16
 _KEPT, _WRAPPER, _GONE = 0, 1, 2
 
 
@@ -434,8 +436,10 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN
             by_host.setdefault(r.host, set()).add(r.subtree)
         sent = spark.sparkContext.broadcast(by_host)
     else:
-        lists = found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))  # at most pages' subtrees / min_share for a host
-        rows = rows.join(lists, F.col("__host") == F.col("host"), "left").select("page_id", "url", "html", "__host", "subtrees")
+        lists = found.groupBy("host").agg(F.collect_list("subtree").alias("subtrees"))  # of a host, as many as it has templates
+        lists = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = rows.withColumn("__part", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        rows = dealt.join(lists, (F.col("__host") == F.col("host")) & (F.col("__part") == F.col("part")), "left").select("page_id", "url", "html", "__host", "subtrees")
         sent = None
 
     def texts(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

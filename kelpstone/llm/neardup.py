@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .components import components
-from .shared import materialize
+from .shared import materialize, settled
 
 BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
@@ -263,7 +263,11 @@ def _verified(rows: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, node, class_id, keep) for each row of ``docs``."""
+    """(doc_id, node, class_id, keep) for each row of ``docs``. The tables on the way there are deleted when it is written."""
+    return settled(docs.sparkSession, "classes", lambda: _classes(docs, threshold))
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     spark = docs.sparkSession
     counts, n_docs = frequencies(docs)
     idf = spark.sparkContext.broadcast(S.idf_table(counts, n_docs))  # 4 MB at any size

@@ -6,14 +6,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import fresh, materialize, scope, shared_dir
+from ..sources.scratch import fresh, materialize, scope, settled, shared_dir
 
 #: White space in the contracts of these operators: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 BLANKS = " \t\n\x0b\x0c\r"
 
-__all__ = ["BLANKS", "NOT_SPACE", "SPACE", "StorageLevel", "fresh", "let", "materialize", "scope", "shared_dir", "table"]
+__all__ = ["BLANKS", "NOT_SPACE", "SPACE", "StorageLevel", "fresh", "let", "materialize", "scope", "settled", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
