@@ -28,7 +28,7 @@ from collections.abc import Iterable
 import numpy as np
 
 #: Words whose ids a worker remembers, and the longest word that it remembers.
-CACHED_WORDS, CACHED_CHARS = 600_000, 64
+CACHED_WORDS, CACHED_CHARS = 300_000, 64
 #: Stand for the end of a piece and of a word; no word of the fast kind holds them.
 END, NEXT = "\x1f", "\x1e"
 
