@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import shingles as S
 from .components import components
-from .shared import materialize, settled
+from .shared import materialize, released, settled
 
 BANDS, ROWS = 12, 4
 THRESHOLD = 0.8
@@ -132,7 +132,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         yield pd.DataFrame({"chunk": list(sums), "counts": [x.tobytes() for x in sums.values()]})
 
     schema = "chunk int, counts binary"
-    rows = docs.select("text").mapInPandas(count, schema).repartition("chunk").mapInPandas(total, schema).collect()
+    rows = docs.select("text").mapInPandas(released(count), schema).repartition("chunk").mapInPandas(released(total), schema).collect()
     counts, n = np.zeros(1 << S.DF_BITS, np.int64), 0
     for r in rows:
         part = np.frombuffer(bytes(r.counts), "<i8")
@@ -160,7 +160,7 @@ def sketched(docs: DataFrame, idf) -> DataFrame:
 
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("node"), size, "text")
-    return rows.mapInPandas(sign, "doc_id long, node binary, size long, bands array<long>")
+    return rows.mapInPandas(released(sign), "doc_id long, node binary, size long, bands array<long>")
 
 
 def _shared(a: tuple, b: tuple) -> float:
@@ -259,7 +259,7 @@ def _verified(rows: DataFrame, texts: DataFrame, idf, threshold: float) -> DataF
     """Links among rows (group, side, node): groups are bounded, texts are joined to them by node."""
     with_text = rows.join(texts, "node").select("group", "side", "node", "text")
     dealt = with_text.repartition("group").sortWithinPartitions("group", "side")
-    return dealt.mapInPandas(_compare(idf, threshold), "a binary, b binary, similarity double")
+    return dealt.mapInPandas(released(_compare(idf, threshold)), "a binary, b binary, similarity double")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, released
 from .wordbpe import encoder_of, unreachable
 
 SEQ_LEN = 2048
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, seq_len: int = SEQ_LEN, end_id:
                     out.append((*row, piece) if with_ids else row)
             yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(released(cut), schema)
 
 
 def slots(histogram: dict[int, int], seq_len: int = SEQ_LEN) -> list[tuple[int, int, int, int, int, int]]:
