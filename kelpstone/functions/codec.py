@@ -119,22 +119,41 @@ def decode_log(data: bytes) -> list[tuple[int, int, bytes, bytes | None]]:
 
     A whole record of an unknown type is no torn end but a log of another kind: StorageCorruption.
     """
-    out, at = [], 0
-    while at + 8 <= len(data):
-        length, crc = struct.unpack_from("<II", data, at)
-        if not MIN_PAYLOAD <= length <= MAX_PAYLOAD or at + 8 + length > len(data):
-            break
-        payload = data[at + 8 : at + 8 + length]
-        if zlib.crc32(payload) != crc:
-            break
-        try:
-            out.append(decode_payload(payload))
-        except EngineError as wrong:
-            if wrong.name == "DataLoss":
-                raise EngineError("StorageCorruption", f"{wrong} at {at}") from wrong
-            break
-        at += 8 + length
-    return out
+    return list(decode_pieces([data]))
+
+
+def decode_pieces(pieces: Iterable[bytes]) -> Iterator[tuple[int, int, bytes, bytes | None]]:
+    """``decode_log`` of a log that comes in pieces, cut anywhere. What is held is a piece and the beginning of a record."""
+    parts: list[bytes] = []
+    passed = size = wanted = 0
+    for piece in pieces:
+        parts.append(piece)
+        size += len(piece)
+        if size < wanted:  # a record of many pieces is put together once
+            continue
+        held, at = b"".join(parts), 0
+        while True:
+            wanted = 8
+            if at + wanted > size:
+                break
+            length, crc = struct.unpack_from("<II", held, at)
+            if not MIN_PAYLOAD <= length <= MAX_PAYLOAD:
+                return
+            wanted += length
+            if at + wanted > size:
+                break
+            payload = held[at + 8 : at + wanted]
+            if zlib.crc32(payload) != crc:
+                return
+            try:
+                yield decode_payload(payload)
+            except EngineError as wrong:
+                if wrong.name == "DataLoss":
+                    raise EngineError("StorageCorruption", f"{wrong} at {passed + at}") from wrong
+                return
+            at += wanted
+        passed += at
+        parts, size = [held[at:]], size - at
 
 
 def _bound(value: Column, body) -> Column:

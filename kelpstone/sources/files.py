@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.codec import decode_log, mutation_column, record_column
+from ..errors import EngineError
+from ..functions.codec import MAX_PAYLOAD, decode_pieces, mutation_column, record_column
 from ..model import MUTATION
 
 
@@ -76,34 +79,91 @@ def size(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(where).getLength()
 
 
-def write_log_file(log: DataFrame, path: str, buffered: int = 1 << 20) -> int:
-    """One binary log of all mutations in order, for a reader of such logs; it is a single stream, so the driver passes it on, ``buffered`` bytes at a time. Returns its bytes."""
+def write_log_file(log: DataFrame, path: str, buffered: int = 1 << 20, part: int = 8 << 20) -> int:
+    """One binary log of all mutations in order, for a reader of such logs; it is a single stream, so the driver passes it on. Returns its bytes.
+
+    Tasks join records to pieces of ``buffered`` bytes or more; the driver gets ranges of the log, of about ``part`` bytes, one after the other.
+    """
+    total = log.agg(F.sum(F.octet_length("key").cast("long") + F.coalesce(F.octet_length("value"), F.lit(0)) + 25)).first()[0] or 0
+    ordered = encode_log(log).select("lsn", "record").repartitionByRange(max(1, -(-total // part)), "lsn").sortWithinPartitions("lsn")
+
+    def join(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = bytearray()
+        for batch in batches:
+            for record in batch["record"]:
+                held += record
+                if len(held) >= buffered:
+                    yield pd.DataFrame({"piece": [bytes(held)]})
+                    held = bytearray()
+        yield pd.DataFrame({"piece": [bytes(held)]})
+
     fs, where, _ = _at(log.sparkSession, path)
-    out, held, size = fs.create(where, False), bytearray(), 0
+    out, size = fs.create(where, False), 0
     try:
-        for row in encode_log(log).select("lsn", "record").orderBy("lsn").select("record").toLocalIterator():
-            held += row["record"]
-            if len(held) >= buffered:
-                out.write(held)
-                size, held = size + len(held), bytearray()
-        out.write(held)
+        for row in ordered.mapInPandas(join, "piece binary").toLocalIterator():
+            out.write(row["piece"])
+            size += len(row["piece"])
     finally:
         out.close()
-    return size + len(held)
+    return size
+
+
+#: Mutations that a task decodes before it passes them on.
+DECODED = 10_000
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
-    """Binary logs as mutations: of each file, the valid beginning. Keys keep their bytes, whatever they are."""
+    """Binary logs as mutations: of each file, the valid beginning. Keys keep their bytes, whatever they are.
+
+    A file is read in parts, cut at its 0x0A bytes as if it were text, and put in order by file; its records, which only follow from those before,
+    are decoded in one task as they stream by. What a task holds is a batch of parts and a record, whatever the size of the file.
+    """
+    parts = spark.read.option("lineSep", "\n").text(path)
+    of_file = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_size", "file_block_start")]
+    parts = parts.select(*of_file, F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("part"))
+    dealt = parts.repartition("file_path").sortWithinPartitions("file_path", "file_block_start", "n")
 
     def decode(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [r for data in batch["content"] for r in decode_log(bytes(data))]
+        found = (m for _, file in groupby(_rows(batches), itemgetter(0)) for m in _of_file(file))
+        while rows := list(islice(found, DECODED)):
             yield pd.DataFrame(rows, columns=["lsn", "op", "key", "value"])
 
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(decode, MUTATION.replace("key string", "key binary"))
+    found = dealt.select("file_path", "file_size", "part").mapInPandas(decode, MUTATION.replace("key string", "key binary"))
     return found.withColumn("key", F.col("key").cast("string"))
 
 
+def _rows(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[str, int, bytes]]:
+    for batch in batches:
+        yield from zip(batch["file_path"], batch["file_size"].tolist(), batch["part"], strict=True)
+
+
+def _of_file(parts: Iterable[tuple[str, int, bytes]]) -> Iterator[tuple]:
+    """The mutations of one file. Readers of text leave out EF BB BF at its beginning: as a length, 12 MB and more, if the fourth byte is at most 3."""
+    seen = {"bytes": 0}
+    pieces = _bytes(parts, seen)
+    yield from decode_pieces(pieces)
+    for _ in pieces:  # what follows a torn record, to count it
+        pass
+    if seen["bytes"] < seen["size"] and seen["first"] <= MAX_PAYLOAD >> 24:
+        raise EngineError("StorageCorruption", f"{seen['path']}: {seen['bytes']} of {seen['size']} bytes were read")
+
+
+def _bytes(parts: Iterable[tuple[str, int, bytes]], seen: dict, gathered: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of one file, ``gathered`` or more at a time, from its parts: each ended with 0x0A, except perhaps the last."""
+    held = bytearray()
+    for path, size, part in parts:
+        held += part
+        held += b"\n"
+        seen.setdefault("first", held[0])
+        seen.update(path=path, size=size)
+        if len(held) >= gathered:
+            yield bytes(held[: size - seen["bytes"]])
+            seen["bytes"], held = seen["bytes"] + len(held), bytearray()
+    left = bytes(held[: max(0, seen["size"] - seen["bytes"])])
+    seen["bytes"] += len(held)
+    yield left
+
+
 def encode_log(log: DataFrame) -> DataFrame:
     """Mutations with their binary records (``record``), for export."""
     rows = log.select("lsn", F.col("op").cast("tinyint").alias("op"), "key", "value")

@@ -176,6 +176,34 @@ def test_binary_logs(spark, tmp_path):
     assert [(r.lsn, r.op, r.key) for r in files.read_log_files(spark, f"{tmp_path}/log").orderBy("lsn").collect()] == [(1, 1, "a"), (2, 2, "a")]
 
 
+def test_large_binary_logs_are_read_in_parts(spark, tmp_path):
+    """No file is loaded whole, and neither line ends nor splits of a file change a byte of it."""
+    from kelpstone.functions.codec import encode_record
+
+    rnd = random.Random(3)
+    rows = [(i, 1, rnd.choice(("", "\n", "\r\n", "k")) + str(i), rnd.choice((b"", b"\n", b"\r", b"\n\n")) + rnd.randbytes(rnd.randrange(300)) + rnd.choice((b"", b"\n", b"\r\n"))) for i in range(1, 3001)]
+    rows[1500] = (1501, 1, "long", b"x" * 200_000)
+    records = [encode_record(*r) for r in rows]
+    (tmp_path / "log").mkdir()
+    for name, data in {
+        "whole": b"".join(records), "ended": b"".join(records[:50]) + encode_record(51, 1, "e", b"\n"), "torn": b"".join(records[:20]) + records[20][:-1], "marked": b"\xef\xbb\xbfno log",
+        "damaged": b"".join(records[:30]) + b"\0" * 40 + b"".join(records[31:]), "empty": b"",
+    }.items():
+        (tmp_path / "log" / name).write_bytes(data)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "1000", "spark.sql.files.maxPartitionBytes": "5000", "spark.sql.files.openCostInBytes": "100"}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = [(r.lsn, r.op, r.key, bytes(r.value)) for r in files.read_log_files(spark, f"{tmp_path}/log").collect()]
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted(found) == sorted(rows + rows[:50] + [(51, 1, "e", b"\n")] + rows[:20] + rows[:30])
+    (tmp_path / "log" / "marked").write_bytes(b"\xef\xbb\xbf\x00 may be a record")
+    with pytest.raises(Exception, match="StorageCorruption"):
+        files.read_log_files(spark, f"{tmp_path}/log").collect()
+
+
 def test_entry_points_work_without_the_text_part(monkeypatch):
     for name in [n for n in sys.modules if n.startswith("kelpstone.llm") or n in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
