@@ -34,7 +34,7 @@ class Manifest:
     last_flushed_lsn: int = 0
     batches: list[dict] = field(default_factory=list)  # path, first, last, bytes (of all its versions, as in memory)
     held: dict = field(default_factory=lambda: {"lsn": 0, "bytes": 0})  # bytes in memory up to a number, when last measured
-    runs: list[dict] = field(default_factory=list)  # RUN_META, entries
+    runs: list[dict] = field(default_factory=list)  # RUN_META, entries, and the files of a run that has several (parts)
     streams: dict[str, int] = field(default_factory=dict)  # last batch of each stream
 
 
@@ -148,9 +148,13 @@ class KvTable:
 
     def entries(self, low: str | None = None, high: str | None = None) -> DataFrame:
         """All versions in log and runs. Runs whose key range misses [low, high] aren't opened."""
-        hit = [r for r in self.manifest.runs if (high is None or r["smallest_key"] <= high) and (low is None or r["largest_key"] >= low)]
+        hit = [r for r in self._files() if (high is None or r["smallest_key"] <= high) and (low is None or r["largest_key"] >= low)]
         return self._versions(hit)
 
+    def _files(self) -> list[dict]:
+        """Path and key range of each file of the runs."""
+        return [f for r in self.manifest.runs for f in r.get("parts", [r])]
+
     def _versions(self, runs: list[dict]) -> DataFrame:
         logged = self.unflushed().select("key", "value", (F.col("op") == DELETE).alias("is_tombstone"), F.col("lsn").alias("seq"))
         return logged.unionByName(self._read([r["filepath"] for r in runs], ENTRY))
@@ -170,7 +174,7 @@ class KvTable:
 
     def prefix(self, prefix: str) -> DataFrame:
         """Live versions of keys that begin so. Runs that end before the first such key, or begin after the last, aren't opened."""
-        hit = [r for r in self.manifest.runs if r["largest_key"] >= prefix and (r["smallest_key"] <= prefix or r["smallest_key"].startswith(prefix))]
+        hit = [r for r in self._files() if r["largest_key"] >= prefix and (r["smallest_key"] <= prefix or r["smallest_key"].startswith(prefix))]
         return versions.scan_prefix(self._versions(hit), prefix)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
@@ -182,8 +186,9 @@ class KvTable:
 
     # Runs.
     def _write_run(self, entries: DataFrame, level: int, size: int) -> tuple[list[dict], int]:
-        """Sorted files of one level, one run each; ranges of files don't overlap. ``size``: bytes that the entries may have, which are split into runs of ``run_bytes``.
+        """Sorted files of one level, whose ranges don't overlap. ``size``: bytes that the entries may have, which are split into files of ``run_bytes``.
 
+        What a flush writes is one run of level 0, however many files it has: its policy counts flushes. On other levels each file is a run.
         Returns their metas and the next run number.
         """
         name = f"runs/L{level}-{self.manifest.next_run:08d}-{uuid.uuid4().hex[:8]}"
@@ -197,6 +202,9 @@ class KvTable:
         for r in sorted(metas.collect(), key=lambda r: r["low"]):  # one row per file
             found.append({"filepath": f"{name}/{r['file']}", "level": level, "smallest_key": r["low"], "largest_key": r["high"], "file_size_bytes": r["bytes"], "sequence_number": number, "entries": r["n"]})
             number += 1
+        if level == 0 and len(found) > 1:
+            whole = {"file_size_bytes": sum(r["file_size_bytes"] for r in found), "entries": sum(r["entries"] for r in found), "parts": [{k: r[k] for k in ("filepath", "smallest_key", "largest_key")} for r in found]}
+            found, number = [{**found[0], "filepath": name, "largest_key": found[-1]["largest_key"], **whole}], found[0]["sequence_number"] + 1
         return found, number
 
     def flush(self) -> bool:

@@ -66,6 +66,22 @@ def test_runs_are_split_and_pruned(spark, tmp_path):
     assert "GreaterThanOrEqual(key,key_0003)" in plan
 
 
+def test_a_flush_is_one_run_of_any_size(spark, tmp_path):
+    """Level 0 counts flushes, so a large one must not look like several; its files are pruned all the same."""
+    t = KvTable.open(spark, f"{tmp_path}/t", levels=2, run_bytes=20_000)
+    rnd = random.Random(2)
+    for part in range(4):
+        assert not t.needs_compaction()
+        t.write([(1, f"key_{i:04d}", rnd.randbytes(100)) for i in range(part, 1200, 4)])
+        t.flush()
+    t = KvTable.open(spark, f"{tmp_path}/t", levels=2, run_bytes=20_000)
+    found = [(r.sequence_number, r.level, r.smallest_key, r.largest_key) for r in t.checkpoint().collect()]
+    assert found == [(i + 1, 0, f"key_{i:04d}", f"key_{1196 + i}") for i in range(4)]
+    assert len(t.entries().inputFiles()) > 4 == len(t.entries("key_0003", "key_0003").inputFiles()) and t.get("key_0003") is not None
+    t.vacuum(keep=1)
+    assert t.scan().count() == 1200
+
+
 def test_filters_are_written_for_keys(spark, tmp_path):
     """A run's file holds a Bloom filter of its keys, which lookups are checked against."""
     import pyarrow.parquet as pq
