@@ -82,6 +82,17 @@ def test_a_flush_is_one_run_of_any_size(spark, tmp_path):
     assert t.scan().count() == 1200
 
 
+def test_a_merge_counts_runs_not_their_files(spark, tmp_path):
+    t = KvTable.open(spark, f"{tmp_path}/t", levels=2, run_bytes=20_000)
+    rnd = random.Random(2)
+    for part in range(4):
+        t.write([(1, f"key_{i:04d}", rnd.randbytes(100)) for i in range(part, 1200, 4)])
+        t.flush()
+    out = t.compact()
+    assert (out["files_read"], out["keys_merged"], out["duplicate_keys_dropped"]) == (4, 1200, 0) and out["files_written"] > 1
+    assert t.vacuum(keep=1) and t.scan().count() == 1200
+
+
 def test_filters_are_written_for_keys(spark, tmp_path):
     """A run's file holds a Bloom filter of its keys, which lookups are checked against."""
     import pyarrow.parquet as pq
