@@ -314,7 +314,7 @@ class Hnsw:
         return cls(spark.read.schema(cls.ROWS).parquet(path))
 
     def search(self, queries: DataFrame, k: int, ef: int = 100) -> DataFrame:
-        """Every graph is searched in a task of its own, and the best of all are taken."""
+        """Every graph is searched in a task of its own, and the best of all are taken. ``ef`` at least: it grows with the square root of a graph, see ``_in_graph``."""
         out = None
         for sent in passes(queries):
             found = self.graphs.groupBy("shard").applyInPandas(_in_graph(sent, k, ef), "query_id long, vec_id long, score double")
@@ -323,9 +323,12 @@ class Hnsw:
 
 
 def _in_graph(sent, k: int, ef: int):
+    """Most queries aren't nodes of the graph, and are found less easily than nodes, which are linked to their neighbours: the larger the graph, the more ways are followed."""
+
     def searched(part: pd.DataFrame) -> pd.DataFrame:
         graph = Graph.of_rows(part)
-        rows = [(q, n, float(d)) for q, v in zip(*sent.value, strict=True) for d, n in graph.search(v, k + 1, ef) if n != q]
+        wide = max(ef, math.ceil(math.sqrt(8 * len(graph.ids))))
+        rows = [(q, n, float(d)) for q, v in zip(*sent.value, strict=True) for d, n in graph.search(v, k + 1, wide) if n != q]
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     return searched

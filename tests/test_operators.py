@@ -199,6 +199,22 @@ def test_search(spark, tmp_path):
         assert ann.recall(out, exact).first().recall >= (1 if name == "shards" else 0.9), name
 
 
+def test_graphs_are_found_from_outside():
+    """Queries that aren't nodes, as in all graphs but one when a table has several."""
+    from types import SimpleNamespace
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(4), 12_000
+    data = rng.normal(size=(n + 60, 64)).astype(np.float32)
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    wanted, ids = data[n:], np.arange(n)
+    found = ann._in_graph(SimpleNamespace(value=(np.arange(n, n + 60), wanted)), 10, 100)(ann.Graph.build(ids, data[:n]).rows())
+    exact = np.argsort(((wanted[:, None] - data[None, :n]) ** 2).sum(2), axis=1)[:, :10]
+    hits = [len(set(exact[q - n]) & set(part.nsmallest(10, "score")["vec_id"])) for q, part in found.groupby("query_id")]
+    assert sum(hits) >= 0.92 * 600
+
+
 def test_searches_in_several_passes(spark, monkeypatch):
     """More queries than go with one reading give the same; ties go to the smaller id, a vector never meets itself."""
     import numpy as np
