@@ -148,12 +148,13 @@ class KvTable:
 
     def entries(self, low: str | None = None, high: str | None = None) -> DataFrame:
         """All versions in log and runs. Runs whose key range misses [low, high] aren't opened."""
-        hit = [r for r in self._files() if (high is None or r["smallest_key"] <= high) and (low is None or r["largest_key"] >= low)]
+        hit = [r for r in self._files(self.manifest.runs) if (high is None or r["smallest_key"] <= high) and (low is None or r["largest_key"] >= low)]
         return self._versions(hit)
 
-    def _files(self) -> list[dict]:
+    @staticmethod
+    def _files(runs: list[dict]) -> list[dict]:
         """Path and key range of each file of the runs."""
-        return [f for r in self.manifest.runs for f in r.get("parts", [r])]
+        return [f for r in runs for f in r.get("parts", [r])]
 
     def _versions(self, runs: list[dict]) -> DataFrame:
         logged = self.unflushed().select("key", "value", (F.col("op") == DELETE).alias("is_tombstone"), F.col("lsn").alias("seq"))
@@ -174,7 +175,7 @@ class KvTable:
 
     def prefix(self, prefix: str) -> DataFrame:
         """Live versions of keys that begin so. Runs that end before the first such key, or begin after the last, aren't opened."""
-        hit = [r for r in self._files() if r["largest_key"] >= prefix and (r["smallest_key"] <= prefix or r["smallest_key"].startswith(prefix))]
+        hit = [r for r in self._files(self.manifest.runs) if r["largest_key"] >= prefix and (r["smallest_key"] <= prefix or r["smallest_key"].startswith(prefix))]
         return versions.scan_prefix(self._versions(hit), prefix)
 
     def multi_get(self, keys: DataFrame) -> DataFrame:
@@ -186,26 +187,29 @@ class KvTable:
 
     # Runs.
     def _write_run(self, entries: DataFrame, level: int, size: int) -> tuple[list[dict], int]:
-        """Sorted files of one level, whose ranges don't overlap. ``size``: bytes that the entries may have, which are split into files of ``run_bytes``.
+        """Sorted files of one level, whose ranges don't overlap. ``size``: bytes that the entries may have, which are dealt to files of ``run_bytes``.
 
-        What a flush writes is one run of level 0, however many files it has: its policy counts flushes. On other levels each file is a run.
-        Returns their metas and the next run number.
+        What a flush writes is one run of level 0, however many files it has: its policy counts flushes. On other levels, neighbouring files that
+        have at most ``run_bytes`` together are a run: how many there are follows from what was written, not from how many tasks wrote it.
+        Returns their metas, which have the path of the first file, and the next run number.
         """
         name = f"runs/L{level}-{self.manifest.next_run:08d}-{uuid.uuid4().hex[:8]}"
         sorted_runs = entries.repartitionByRange(max(1, -(-size // self.run_bytes)), "key").sortWithinPartitions("key").write
-        # Filters are sized by what they hold.
-        filtered = sorted_runs.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
+        # Filters are sized by what they hold: of ten sizes from 2 KB to 1 MB (of five, the least would be 64 KB, more than a small file's entries).
+        filtered = sorted_runs.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number#key", "10")
         filtered.parquet(f"{self.path}/{name}")
         written = self.spark.read.schema(ENTRY).parquet(f"{self.path}/{name}")
         metas = written.groupBy(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes")).agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
-        found, number = [], self.manifest.next_run
+        found: list[dict] = []
         for r in sorted(metas.collect(), key=lambda r: r["low"]):  # one row per file
-            found.append({"filepath": f"{name}/{r['file']}", "level": level, "smallest_key": r["low"], "largest_key": r["high"], "file_size_bytes": r["bytes"], "sequence_number": number, "entries": r["n"]})
-            number += 1
-        if level == 0 and len(found) > 1:
-            whole = {"file_size_bytes": sum(r["file_size_bytes"] for r in found), "entries": sum(r["entries"] for r in found), "parts": [{k: r[k] for k in ("filepath", "smallest_key", "largest_key")} for r in found]}
-            found, number = [{**found[0], "filepath": name, "largest_key": found[-1]["largest_key"], **whole}], found[0]["sequence_number"] + 1
-        return found, number
+            file = {"filepath": f"{name}/{r['file']}", "smallest_key": r["low"], "largest_key": r["high"]}
+            if found and (level == 0 or found[-1]["file_size_bytes"] + r["bytes"] <= self.run_bytes):
+                run = found[-1]
+                run.setdefault("parts", [{k: run[k] for k in file}]).append(file)
+                run.update(largest_key=r["high"], file_size_bytes=run["file_size_bytes"] + r["bytes"], entries=run["entries"] + r["n"])
+            else:
+                found.append({**file, "level": level, "file_size_bytes": r["bytes"], "sequence_number": self.manifest.next_run + len(found), "entries": r["n"]})
+        return found, self.manifest.next_run + len(found)
 
     def flush(self) -> bool:
         """Unflushed mutations become a run of level 0; nothing to flush is no error."""
@@ -233,7 +237,7 @@ class KvTable:
         inputs = {r["filepath"] for r in policy.select_files(self.checkpoint(), level).select("filepath").collect()}
         chosen = [r for r in self.manifest.runs if r["filepath"] in inputs]
         bottom = level + 1 == self.levels - 1
-        entries = self._read([r["filepath"] for r in chosen], ENTRY)
+        entries = self._read([f["filepath"] for f in self._files(chosen)], ENTRY)
         read, size = sum(r["entries"] for r in chosen), sum(r["file_size_bytes"] for r in chosen)
         found, number = self._write_run(merging.merge(entries, bottom).select("key", "value", "is_tombstone", "seq"), level + 1, size)
         written = sum(r["entries"] for r in found)

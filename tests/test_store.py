@@ -93,6 +93,41 @@ def test_a_merge_counts_runs_not_their_files(spark, tmp_path):
     assert t.vacuum(keep=1) and t.scan().count() == 1200
 
 
+def test_a_merge_writes_runs_by_what_is_left(spark, tmp_path):
+    """Four versions of a key are read, one is written: what then fits one run is one."""
+    t = KvTable.open(spark, f"{tmp_path}/t", levels=2, run_bytes=1_000_000)
+    rnd = random.Random(4)
+    for _ in range(4):
+        t.write([(1, f"key_{i:04d}", rnd.randbytes(1000)) for i in range(600)])
+        t.flush()
+    out = t.compact()
+    assert out["bytes_read"] > 2_000_000 and out["bytes_written"] < 1_000_000
+    assert (out["files_read"], out["files_written"], out["keys_merged"], out["duplicate_keys_dropped"]) == (4, 1, 2400, 1800)
+
+
+def test_runs_follow_from_bytes_not_from_tasks(spark, tmp_path, monkeypatch):
+    """However many tasks write, a run has the bytes of one; its files are read and pruned, and one of several runs of a folder can be merged."""
+    frame, settings = type(spark.range(0)), {"levels": 3, "run_bytes": 1_000_000}
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *by, f=frame.repartitionByRange: f(self, max(8, n), *by))
+    t = KvTable.open(spark, f"{tmp_path}/t", **settings)
+    rnd = random.Random(4)
+    for part in range(4):
+        t.write([(1, f"key_{i:04d}", rnd.randbytes(1000)) for i in range(part, 1200, 4)])
+        t.flush()
+    out = t.compact()
+    assert (out["files_read"], out["files_written"], out["keys_merged"], out["duplicate_keys_dropped"]) == (4, 2, 1200, 0)
+    t = KvTable.open(spark, f"{tmp_path}/t", **settings)
+    one, two = t.checkpoint().orderBy("smallest_key").collect()
+    assert (one.sequence_number, two.sequence_number, t.manifest.next_run) == (5, 6, 7) and one.filepath != two.filepath and max(one.file_size_bytes, two.file_size_bytes) <= 1_000_000
+    assert one.smallest_key == "key_0000" and one.largest_key < two.smallest_key and two.largest_key == "key_1199"
+    assert len(t.entries().inputFiles()) == 8 and len(t.entries("key_0003", "key_0003").inputFiles()) == 1
+    monkeypatch.setattr(t, "pick_level", lambda: 1)
+    out = t.compact()
+    assert out["files_read"] == 1 and 0 < out["keys_merged"] < 1200 and [r["level"] for r in t.manifest.runs] == [1, 2]
+    t.vacuum(keep=1)
+    assert t.scan().count() == 1200 and t.get("key_0003") is not None and t.get("key_1199") is not None
+
+
 def test_filters_are_written_for_keys(spark, tmp_path):
     """A run's file holds a Bloom filter of its keys, which lookups are checked against."""
     import pyarrow.parquet as pq
