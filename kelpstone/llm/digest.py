@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import released
+
 BUCKETS = 256
 #: Places of a triplet's bytes from a position on. Spacings of more than a syllable tell texts of one language apart.
 TRIPLETS = ((0, 4, 9), (0, 7, 15), (0, 11, 13), (0, 5, 17), (0, 13, 23), (0, 6, 19))
@@ -104,15 +106,14 @@ def fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") ->
 
 
 def _range_number(bounds: list[int], value: str) -> Column:
-    """How many bounds an expression reaches, by halving; a null reaches all."""
+    """How many bounds an expression reaches, by halving; a null reaches all. The bounds are one literal: a tree of conditions would be compiled anew by each executor, and it grows with them."""
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    found = f"aggregate(array({', '.join(map(str, steps))}), 0, (at, step) -> IF(get({_literal(bounds)}, at + step - 1) <= {value}, at + step, at))"
+    return F.expr(f"IF({value} IS NULL, {len(bounds)}, {found})")
 
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"IF({value} < {bounds[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
-    return F.expr(tree(0, len(bounds)))
+def _literal(bounds: list[int]) -> str:
+    return f"array({', '.join(f'{x}L' for x in bounds)})"
 
 
 def _edited(text: str, following: str) -> str:
@@ -160,19 +161,20 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    wanted = 4 * parts
-    probs = [i / wanted for i in range(wanted)]
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", probs, 10 * wanted).alias("at")).first()
+    probs = [i / parts for i in range(parts)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", probs, 10 * parts).alias("at")).first()
     low, bounds = found["low"], sorted({x for x in found["at"] or [] if x > found["low"]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     if not bounds:
         dealt = rows.select(F.lit(0).alias("__range"), F.lit(False).alias("__lent"), "doc_id", "text").coalesce(1)
     else:
-        number = _range_number(bounds, "doc_id")
-        # A row begins a range if the id before it lies in the range before. (The smallest id has none before it.)
-        begins = F.col("doc_id").isNotNull() & (number > _range_number(bounds, "try_subtract(doc_id, 1L)"))
+        number = F.col("__range")
+        # A row begins a range if its id is that range's bound. (The smallest id is none.)
+        begins = F.expr(f"get({_literal(bounds)}, __range - 1)") == F.col("doc_id")
         lent = F.when(F.col("doc_id") == low, F.lit(len(bounds))).when(begins, number - 1)
         places = F.array_compact(F.array(F.struct(number.alias("__range"), F.lit(False).alias("__lent")), F.when(lent.isNotNull(), F.struct(lent.alias("__range"), F.lit(True).alias("__lent")))))
-        dealt = rows.select(F.explode(places).alias("__place"), "doc_id", "text").select("__place.*", "doc_id", "text").repartition(parts, "__range")
+        numbered = rows.withColumn("__range", _range_number(bounds, "doc_id"))
+        # At most as many ranges as partitions: each gets one of its own, where hashes would put several into some and none into others.
+        dealt = numbered.select(F.explode(places).alias("__place"), "doc_id", "text").select("__place.*", "doc_id", "text").repartitionById(parts, F.col("__range"))
     dealt = dealt.sortWithinPartitions("__range", "__lent", F.col("doc_id").asc_nulls_last(), "text")
-    return dealt.mapInPandas(_stream(not bounds), _OUT)
+    return dealt.mapInPandas(released(_stream(not bounds)), _OUT)

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from kelpstone.llm import components, digest, licences, linededup, mixing, neardup, packing, quality, shingles, tokencount, wordbpe
 
@@ -149,6 +150,22 @@ def test_digest_of_next(docs):
     assert got == expected
 
 
+def test_each_range_of_ids_has_a_partition_of_its_own(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    made = spark.range(6000).select((7 * F.col("id") - 20_000).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        out = digest.compare_with_next(made)
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("if (") < 10  # the plan doesn't grow with the ranges
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        bounds = list(range(3, 60, 4))
+        numbered = spark.createDataFrame([(x,) for x in [*range(-2, 64), None]], "x long").withColumn("n", digest._range_number(bounds, "x")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert sum(sizes) == 6000 and len(sizes) == 60 and max(sizes) <= 120
+    assert all(r.n == (len(bounds) if r.x is None else sum(b <= r.x for b in bounds)) for r in numbered)
+
+
 def plain_digest(data):
     """The digest by its definition, one triplet at a time."""
     counts = [0] * 256
