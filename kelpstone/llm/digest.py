@@ -131,6 +131,11 @@ def _row(doc_id, text: str, own, following: str, other) -> tuple:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in _OUT.split(", ")], dtype=object)
+    return out.astype({"doc_id": "Int64", "n_chars": "int64", "near_edited": "float64", "near_next": "float64"})
+
+
 def _stream(wraps: bool):
     """The function for a partition: rows come by range, the ones lent from the next range last."""
 
@@ -138,18 +143,18 @@ def _stream(wraps: bool):
         first = last = None  # (range, lent, doc_id, text, digest)
         for batch in batches:
             out = []
-            for number, lent, doc_id, text in zip(batch["__range"], batch["__lent"], batch["doc_id"], batch["text"], strict=True):
+            for number, lent, null, doc_id, text in zip(batch["__range"], batch["__lent"], batch["__null"], batch["doc_id"], batch["text"], strict=True):
                 text = text or ""
                 if last and last[1] and last[0] == number:
                     continue  # one lent row is enough
-                now = (number, lent, None if pd.isna(doc_id) else int(doc_id), text, digest(text.encode()))
+                now = (number, lent, None if null else int(doc_id), text, digest(text.encode()))
                 if last and not last[1] and last[0] == number:
                     out.append(_row(last[2], last[3], last[4], text, now[4]))
                 first, last = first or now, now
             if out:
-                yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"doc_id": "Int64"})
+                yield _frame(out)
         if wraps and last:
-            yield pd.DataFrame([_row(last[2], last[3], last[4], first[3], first[4])], columns=[c.split()[0] for c in _OUT.split(", ")]).astype({"doc_id": "Int64"})
+            yield _frame([_row(last[2], last[3], last[4], first[3], first[4])])
 
     return walk
 
@@ -165,6 +170,10 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", probs, 10 * parts).alias("at")).first()
     low, bounds = found["low"], sorted({x for x in found["at"] or [] if x > found["low"]})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    if any(abs(x) >= 1 << 53 for x in bounds):
+        # Quantiles are found as doubles: of such ids they are rounded, so each range is moved to the smallest id in it.
+        ids = rows.where("doc_id IS NOT NULL").groupBy(_range_number(bounds, "doc_id").alias("n")).agg(F.min("doc_id").alias("first"))
+        bounds = sorted(r.first for r in ids.select("first").collect() if r.first > low)
     if not bounds:
         dealt = rows.select(F.lit(0).alias("__range"), F.lit(False).alias("__lent"), "doc_id", "text").coalesce(1)
     else:
@@ -177,4 +186,6 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         # At most as many ranges as partitions: each gets one of its own, where hashes would put several into some and none into others.
         dealt = numbered.select(F.explode(places).alias("__place"), "doc_id", "text").select("__place.*", "doc_id", "text").repartitionById(parts, F.col("__range"))
     dealt = dealt.sortWithinPartitions("__range", "__lent", F.col("doc_id").asc_nulls_last(), "text")
+    # Ids beside nulls would come as doubles.
+    dealt = dealt.select("__range", "__lent", F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
     return dealt.mapInPandas(released(_stream(not bounds)), _OUT)

@@ -166,6 +166,22 @@ def test_each_range_of_ids_has_a_partition_of_its_own(spark):
     assert all(r.n == (len(bounds) if r.x is None else sum(b <= r.x for b in bounds)) for r in numbered)
 
 
+@pytest.mark.parametrize("parts", [1, 40])
+def test_ids_beyond_doubles_lose_no_row(spark, parts):
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    ids = [2**62 + 3 * i for i in range(400)] + [-(2**62) - 5 * i for i in range(400)] + [2**63 - 1, -(2**63) + 1, None, None]
+    made = spark.createDataFrame([(x, f"text {n}") for n, x in enumerate(ids)], "doc_id long, text string")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        got = digest.compare_with_next(made).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+    texts = [t for _, _, t in sorted((x is None, x or 0, f"text {n}") for n, x in enumerate(ids))]
+    edited = [a[: len(a) - len(a) // 4] + b[: len(a) // 4] for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
+    assert Counter(r.edited_sha256 for r in got) == Counter(hashlib.sha256(t.encode()).hexdigest() for t in edited)
+
+
 def plain_digest(data):
     """The digest by its definition, one triplet at a time."""
     counts = [0] * 256
